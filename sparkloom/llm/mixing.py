@@ -49,12 +49,13 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3,
     gives an empty result; columns of the input named like an added one are replaced.
     """
     size = words(F.col("text")) if size is None else size
-    docs = docs.drop(*ADDED).select("*", size.alias("size"))
+    # The draw comes before the join, so that a text is shuffled only where it is asked for.
+    docs = docs.drop(*ADDED).select("*", size.alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("_draw"))
     per = source_targets(docs, F.col("size"), weights, cap).withColumnRenamed("source", "_source")
     joined = docs.join(per, docs["source"].eqNullSafe(per["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    extra = draw(seed, F.col("doc_id"), F.col("text")) < rate - F.floor(rate)
-    return joined.withColumn("copies", F.floor(rate) + extra.cast("long"))
+    extra = F.col("_draw") < rate - F.floor(rate)
+    return joined.withColumn("copies", F.floor(rate) + extra.cast("long")).drop("_draw")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

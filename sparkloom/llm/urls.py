@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Longest word that the segmentation knows; size of the hashed table of token weights.
@@ -110,7 +112,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("
     url = F.col("url").cast("string")
     base = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
     base = base.withColumn("_rule", longest_rule(rules, F.col("host"), F.col("path")))
-    hosts = segment_hosts(base, word_counts(pages))
+    hosts = cut(segment_hosts(base, cut(word_counts(pages))))
     rows = base.join(hosts, "host", "left").withColumn("buckets", features(F.col("words"), F.col("path")))
     labelled = rows.filter(F.col("_rule").isNotNull()).select((F.col("_rule.verdict") == "block").alias("block"), "buckets")
     weights = pages.sparkSession.sparkContext.broadcast(fit_weights(labelled))
