@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 400, 64
 #: Texts of a gram that go to one shard, on average; bytes sorted at once.
 SPLIT, BLOCK = 4096, 2 << 20
+#: Symbols that the suffix sort starts with: as many as fit into 63 bits.
+FIRST = 7
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -66,40 +68,52 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return least[first].astype(np.int64), first, last
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Sorted suffixes by Larsson and Sadakane's refinement: groups equal in h symbols are split by the rank h further on."""
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    sorted_ = symbols[order]
-    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+def suffix_array(data: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Sorted suffixes by Larsson and Sadakane's refinement: groups equal in h symbols are split by the rank h further on.
+
+    room: bytes from each place to the end of its text, which counts as a symbol above all bytes, and the higher the later
+    the text. The first groups are those equal in FIRST symbols, packed into one number.
+    """
+    n = len(data)
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(FIRST):
+        symbol = np.zeros(n, dtype=np.int64)  # 0 after the end
+        symbol[: n - k] = data[k:]
+        key = key * 258 + np.where(room > k, symbol + 1, np.where(room == k, 257, 0))
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    # Suffixes with an end among these symbols are alone: the stable sort has put equal ones in the order of their texts.
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) | (room[order] < FIRST)
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 1
-    while True:
-        places = np.flatnonzero(~(new & np.append(new[1:], True)))  # of groups of more than one
-        if not len(places):
-            return order
+    places, h = np.flatnonzero(~(new & np.append(new[1:], True))), FIRST  # of groups of more than one
+    while len(places):
         suffix = order[places]
         further = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)], -1)
         key = rank[suffix] * (n + 1) + further + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, suffix = key[by], suffix[by]
         order[places] = suffix
         split = np.concatenate([[True], key[1:] != key[:-1]])
-        new[places] = split
         rank[suffix] = np.maximum.accumulate(np.where(split, places, 0))
+        places = places[~(split & np.append(split[1:], True))]
         h *= 2
+    return order
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
-    """For each place of order, symbols (at most `most`) shared with the suffix before, by Kasai's rule.
+def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int) -> np.ndarray:
+    """For each place of order, bytes (at most `most`) shared with the suffix before, by Kasai's rule.
 
-    A suffix shares at least one symbol less than the one that starts before it in the text. The rule runs along all texts
-    (from starts, of lengths) at the same time; each ends in a symbol found nowhere else.
+    A suffix shares at least one byte less than the one that starts before it in the text. The rule runs along all texts
+    (from starts, of lengths) at the same time and compares eight bytes in a step; room is as for suffix_array.
     """
-    n = len(symbols)
+    n = len(data)
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
+    eight = np.zeros(n, dtype=np.uint64)
+    for k in range(8):
+        eight |= padded[k : k + n] << np.uint64(8 * k)
     out = np.zeros(n, dtype=np.int64)
     by_length = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[by_length], lengths[by_length]
@@ -110,15 +124,17 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray,
         here = starts[:live] + t
         at = place[here]
         before = order[np.maximum(at - 1, 0)]
+        limit = np.minimum(np.minimum(room[here], room[before]), most)
         s = np.maximum(shared[:live] - 1, 0)
         s[at == 0] = 0
-        go = np.flatnonzero((at > 0) & (s < most))
+        go = np.flatnonzero((at > 0) & (s < limit))
         while len(go):
-            x, y = here[go] + s[go], before[go] + s[go]
-            inside = (x < n) & (y < n)
-            go = go[inside & (symbols[np.minimum(x, n - 1)] == symbols[np.minimum(y, n - 1)])]
-            s[go] += 1
-            go = go[s[go] < most]
+            have = s[go]
+            differ = eight[here[go] + have] ^ eight[before[go] + have]
+            lowest = differ & (~differ + np.uint64(1))
+            same = np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64)
+            s[go] = np.minimum(have + same, limit[go])
+            go = go[(same == 8) & (s[go] < limit[go])]
         shared[:live] = s
         out[at] = s
     return out
@@ -128,12 +144,11 @@ def repeats_among(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each of the distinct texts, a class number for each start of a `length`-byte string; equal strings share it."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    symbols = np.zeros(int((lengths + 1).sum()), dtype=np.int64)
-    symbols[:] = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    symbols[starts + lengths] = 256 + np.arange(len(texts))  # an end of its own for each text
-    order = suffix_array(symbols)
-    shared = common_prefixes(symbols, order, starts, lengths, length)
-    classes = np.empty(len(symbols), dtype=np.int64)
+    data = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)  # a place for the end of each text
+    room = np.repeat(starts + lengths, lengths + 1) - np.arange(len(data))
+    order = suffix_array(data, room)
+    shared = common_prefixes(data, room, order, starts, lengths, length)
+    classes = np.empty(len(data), dtype=np.int64)
     classes[order] = np.cumsum(shared < length)
     return [classes[s : s + n - length + 1] for s, n in zip(starts, lengths, strict=True)]
 
