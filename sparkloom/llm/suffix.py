@@ -290,7 +290,10 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     both = around.mapInArrow(search, RANGES)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted strings of several shards: one that binary search finds more than once is repeated where a shard held it once."""
+        """Sorted strings of several shards: one that binary search finds more than once is repeated where a shard held it once.
+
+        Ranges without a digest are settled and pass.
+        """
         rest: list[tuple] = []
 
         def repeated(rows: list[tuple]) -> list[tuple]:
@@ -305,6 +308,13 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             return [(k, a, a, None, None) for k, a, d in (rows[i] for i in np.flatnonzero(several)) if k is not None and exact[d] > 1]
 
         for batch in batches:
+            digests = batch.column(batch.schema.get_field_index("digest"))
+            settled = batch.filter(digests.is_null())
+            if settled.num_rows:
+                yield settled
+            batch = batch.filter(digests.is_valid())
+            if not batch.num_rows:
+                continue
             rows = [*rest, *_columns(batch, "key", "first", "digest")]
             last = rows[-1][2]
             cut = len(rows)
@@ -316,9 +326,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         if rest and (out := repeated(rest)):
             yield _rows(out)
 
-    inside = both.filter("digest is null").select("key", "first", "last")
-    across = both.filter("digest is not null").repartition("digest").sortWithinPartitions("digest").mapInArrow(merge, RANGES)
-    return inside.union(across.select("key", "first", "last"))
+    # One exchange for both kinds, so that the search runs once: strings meet by digest, settled ranges are dealt evenly.
+    dealt = F.when(F.col("digest").isNull(), F.xxhash64("key", "first")).otherwise(F.xxhash64("digest"))
+    return both.repartition(dealt).sortWithinPartitions("digest").mapInArrow(merge, RANGES).select("key", "first", "last")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
