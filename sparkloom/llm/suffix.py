@@ -160,7 +160,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    """MD5 of a text, never null: a join on a key that may be null filters its inputs, and an exchange of texts then can't be shared."""
+    return F.coalesce(F.unhex(F.md5(F.coalesce(text, F.lit("")))), F.lit(b""))
 
 
 class Shard:
