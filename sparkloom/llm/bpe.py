@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 #: Bounds of what a worker remembers: pieces with their ids, and pairs of tokens.
-PIECES, PAIRS = 200_000, 300_000
+PIECES, PAIRS = 100_000, 150_000
 #: Longer texts are matched piece by piece instead of in one list.
 LISTED = 1_000_000
+#: Characters of text whose results are held before they are handed on.
+HELD = 1 << 21
 
 
 class Vocabulary(dict):
@@ -54,6 +57,7 @@ class Vocabulary(dict):
                     self.merged[a, b] = i
                     break
         self.apart.clear()
+        del self.ranks
 
     def _stay_apart(self, a: int, b: int) -> bool:
         """Whether the merges of a's and b's bytes, side by side, end in just these two tokens.
@@ -151,42 +155,55 @@ def _vocabulary(rank_file: bytes, pattern: str) -> Vocabulary:
     return _loaded[key]
 
 
-def codec(docs: DataFrame, rank_path: str, pattern: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """Two column functions: text to struct(ids, decoded), and packed ids to bytes.
-
-    The driver reads the rank file (the vocabulary, of a fixed size) and broadcasts its bytes.
-    """
+def _sent(df: DataFrame, rank_path: str) -> Broadcast:
+    """The rank file's bytes: the driver reads them (a vocabulary, of a fixed size) and broadcasts them."""
     with open(rank_path, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    @F.pandas_udf("ids binary, decoded binary")
-    def round_trip(texts: pd.Series) -> pd.DataFrame:
-        v = _vocabulary(ranks.value, pattern)
-        ids = [v.encode(t) if t else b"" for t in texts]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([v.decode(x) for x in ids], dtype=object)})
-
-    @F.pandas_udf("binary")
-    def decode(packed: pd.Series) -> pd.Series:
-        v = _vocabulary(ranks.value, pattern)
-        return pd.Series([None if x is None else v.decode(x) for x in packed], dtype=object)
-
-    return round_trip, decode
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """docs with n_tokens, ids (packed little-endian unsigned 32-bit integers) and decoded (the bytes read back from ids).
 
     Each match of pattern is encoded by itself, without special tokens. A null or empty text has no ids. Long texts
-    are encoded whole, in time linear in their length. Columns of the input named like an added one
-    are replaced; repeated rows are encoded alike; an empty table gives an empty result.
+    are encoded whole, in time linear in their length; results leave a task in pieces of about HELD characters of
+    text. Columns of the input named like an added one are replaced; repeated rows are encoded alike; an empty
+    table gives an empty result.
     """
-    round_trip, _ = codec(docs, rank_path, pattern)
+    ranks = _sent(docs, rank_path)
     docs = docs.drop("n_tokens", "ids", "decoded")
-    out = docs.withColumn("_bpe", round_trip(F.coalesce("text", F.lit(""))))
-    return out.select(*docs.columns, (F.octet_length("_bpe.ids") / 4).cast("long").alias("n_tokens"), F.col("_bpe.ids").alias("ids"), F.col("_bpe.decoded").alias("decoded"))
+    at, names = docs.columns.index("text"), [*docs.columns, "n_tokens", "ids", "decoded"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(ranks.value, pattern)
+        for batch in batches:
+            texts, begun, held = batch.column(at), 0, 0
+            ids, decoded = [], []
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                ids.append(v.encode(text))
+                decoded.append(v.decode(ids[-1]))
+                held += len(text)
+                if held >= HELD or i + 1 == batch.num_rows:
+                    n_tokens = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    part = batch.slice(begun, len(ids))
+                    columns = [*part.columns, n_tokens, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    ids, decoded, begun, held = [], [], i + 1, 0
+
+    kind = StructType([*docs.schema.fields, StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
+    return docs.mapInArrow(encode, kind)
 
 
 def decode_ids(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """encoded with decoded made anew from its packed ids; null ids give null."""
-    _, decode = codec(encoded, rank_path, pattern)
-    return encoded.withColumn("decoded", decode("ids"))
+    ranks = _sent(encoded, rank_path)
+    encoded = encoded.drop("decoded")
+    at, names = encoded.columns.index("ids"), [*encoded.columns, "decoded"]
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(ranks.value, pattern)
+        for batch in batches:
+            read = pa.array([None if x is None else v.decode(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, read], names=names)
+
+    return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
