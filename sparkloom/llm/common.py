@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key is frequent if it has over 1 / HOT of all rows: there are fewer than HOT of those.
+HOT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and go on from there: for what is read several times by parts."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, per: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows and per, which has one row a key and, in count, at least the rows that have it.
+
+    total is at least the sum of count, so fewer than HOT keys have over 1 / HOT of it. These are broadcast and their rows
+    stay where they are; the others are shuffled. rows is read twice: it should be a table or come from an exchange.
+    """
+    frequent = F.col(count) > F.lit(total / HOT)
+    hot = F.broadcast(per.filter(frequent))
+    rest = rows.join(hot, key, "left_anti").join(per.filter(~frequent), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,9 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import join_counted, written
+
 LENGTH, GRAM = 400, 64
 #: Texts of a gram that go to one shard, on average; bytes sorted at once.
 SPLIT, BLOCK = 4096, 2 << 20
+#: Runs of starts that are held before they are handed on.
+HELD = 1 << 16
 #: Symbols that the suffix sort starts with: as many as fit into 63 bits.
 FIRST = 7
 
@@ -75,22 +79,25 @@ def suffix_array(data: np.ndarray, room: np.ndarray) -> np.ndarray:
     the text. The first groups are those equal in FIRST symbols, packed into one number.
     """
     n = len(data)
-    key = np.zeros(n, dtype=np.int64)
-    for k in range(FIRST):
-        symbol = np.zeros(n, dtype=np.int64)  # 0 after the end
-        symbol[: n - k] = data[k:]
-        key = key * 258 + np.where(room > k, symbol + 1, np.where(room == k, 257, 0))
-    order = np.argsort(key, kind="stable")
+    symbols = np.concatenate([np.where(room > 0, data.astype(np.int64) + 1, 257), np.zeros(FIRST, dtype=np.int64)])
+    key = symbols[:n].copy()
+    for k in range(1, FIRST):
+        key *= 258
+        key += symbols[k : k + n]
+    near = np.flatnonzero(room < FIRST - 1)  # nothing counts after the end
+    key[near] -= key[near] % 258 ** (FIRST - 1 - room[near])
+    order = np.argsort(key, kind="stable").astype(np.int32)
     ranked = key[order]
     # Suffixes with an end among these symbols are alone: the stable sort has put equal ones in the order of their texts.
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) | (room[order] < FIRST)
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    places, h = np.flatnonzero(~(new & np.append(new[1:], True))), FIRST  # of groups of more than one
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    places, h = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32), FIRST  # of groups of more than one
     while len(places):
         suffix = order[places]
-        further = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)], -1)
-        key = rank[suffix] * (n + 1) + further + 1
+        key = rank[suffix].astype(np.int64)
+        key *= n
+        key += rank[suffix + h]  # equal in h symbols, so no end is among them
         by = np.argsort(key)
         key, suffix = key[by], suffix[by]
         order[places] = suffix
@@ -108,12 +115,10 @@ def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray, start
     (from starts, of lengths) at the same time and compares eight bytes in a step; room is as for suffix_array.
     """
     n = len(data)
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    eight = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        eight |= padded[k : k + n] << np.uint64(8 * k)
+    place = np.empty(n, dtype=np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ascontiguousarray(np.ndarray(n, dtype="<u8", buffer=padded, strides=(1,)))  # the bytes from each place
     out = np.zeros(n, dtype=np.int64)
     by_length = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[by_length], lengths[by_length]
@@ -232,18 +237,33 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(batch: pa.RecordBatch, at: list[int], parts: list[tuple]) -> pa.RecordBatch:
+            number = pa.array(np.repeat(at, [len(p[0]) for p in parts]))
+            grams, first, last = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(number), grams, first, last, batch.column(2).take(number)], names=["key", "gram", "first", "last", "times"])
+
         for batch in batches:
-            for key, text, times in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                grams, first, last = anchors(text.as_py().encode(), length)
-                n = len(grams)
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, pa.binary()), pa.array(grams), pa.array(first), pa.array(last), pa.array(np.full(n, times.as_py()))], names=["key", "gram", "first", "last", "times"])
+            at, parts, n = [], [], 0
+            for i, text in enumerate(batch.column(1)):
+                part = anchors(text.as_py().encode(), length)
+                if len(part[0]):
+                    at.append(i)
+                    parts.append(part)
+                    n += len(part[0])
+                if n > HELD:
+                    yield rows(batch, at, parts)
+                    at, parts, n = [], [], 0
+            if n:
+                yield rows(batch, at, parts)
 
     long = texts.select("key", "text", "times")
-    found = long.mapInArrow(find_anchors, "key binary, gram long, first long, last long, times long")
-    often = found.groupBy("gram").agg(F.sum("times").alias("_all"), F.count("*").alias("_places")).filter("_all > 1").select("gram", F.ceil(F.col("_places") / SPLIT).alias("parts"))
+    # Written, as it is read for the counts and for both parts of the join; some twenty bytes for each run of starts.
+    found = written(long.mapInArrow(find_anchors, "key binary, gram long, first long, last long, times long"), "grams")
+    often = found.groupBy("gram").agg(F.sum("times").alias("_all"), F.count("*").alias("_places")).filter("_all > 1")
+    often = often.select("gram", "_places", F.ceil(F.col("_places") / SPLIT).alias("parts"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key", "first"), F.col("parts"))).otherwise(-1).alias("part")
-    placed = found.join(often, "gram").select("key", F.struct("gram", "first", "last", part).alias("run"))
+    placed = join_counted(found.drop("times"), often, "gram", "_places", found.count())
+    placed = placed.select("key", F.struct("gram", "first", "last", part).alias("run"))
     placed = placed.groupBy("key").agg(F.collect_list("run").alias("runs"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, mixing, quality, secrets, sharding, simhash, suffix, topk, urls
-from sparkloom.llm.common import shared_folder
+from sparkloom.llm import bpe, chat, common, mixing, quality, secrets, sharding, simhash, suffix, topk, urls
+from sparkloom.llm.common import join_counted, shared_folder
 from sparkloom.llm.queries import QUERIES, RULES
 
 SF = "/root/testdata/sf0.01"
@@ -36,6 +36,17 @@ def rows(spark, name):
     return {r["doc_id"]: r for r in QUERIES[name](spark, SF).collect()}
 
 
+def test_frequent_keys_join_like_others(spark):
+    keys = [0] * 500 + [1] * 100 + list(range(2, 60)) + [99]
+    rows_ = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    n = Counter(keys)
+    per = spark.createDataFrame([(k, n[k], f"of {k}") for k in n if k != 99], "k long, n long, name string")
+    for total in (len(keys), len(keys) * 150):  # all keys are frequent; two are
+        got = sorted((r["k"], r["i"], r["name"]) for r in join_counted(rows_, per, "k", "n", total).collect())
+        assert got == sorted((k, i, f"of {k}") for i, k in enumerate(keys) if k != 99)
+    assert join_counted(rows_.limit(0), per.limit(0), "k", "n", 0).count() == 0
+
+
 # 1 -----------------------------------------------------------------------------------------------
 
 
@@ -430,9 +441,10 @@ def awkward_texts():
     return texts
 
 
-@pytest.mark.parametrize("split", [4096, 3])
-def test_repeats_are_removed(spark, monkeypatch, split):
+@pytest.mark.parametrize(("split", "hot"), [(4096, 1024), (3, 1024), (3, 4)])
+def test_repeats_are_removed(spark, monkeypatch, split, hot):
     monkeypatch.setattr(suffix, "SPLIT", split)
+    monkeypatch.setattr(common, "HOT", hot)
     texts = awkward_texts()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("times", F.lit(1))
     got = suffix.drop_repeats(df).orderBy("doc_id").collect()
