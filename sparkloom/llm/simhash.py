@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import cut, join_counted
 
 SEED = 42
 #: Bits of the segments of each 64-bit word, and whether their balls have radius 1 (or 0).
@@ -170,17 +170,20 @@ def connect(links: DataFrame) -> DataFrame:
     """node, root: the smallest node of each node's component, for nodes that have a link and aren't their own root.
 
     Large stars and small stars in turn: each node's neighbours are linked to the smallest of them, until nothing
-    changes. Each round is a few joins of the links with themselves, and is cut.
+    changes. Each round is a few joins of the links with themselves, and is cut; rows of a node with very many links
+    are not gathered in one task.
     """
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = edges.agg(mark).first()[0]
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_counted(both.filter("v > u"), least, "u", "n", 2 * before["n"])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        # large has at most one row for each edge.
+        stars = join_counted(large, least, "u", "n", before["n"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(mark).first()[0]
         if now == before:

@@ -251,7 +251,9 @@ def test_simhash_components(spark, texts):
         assert (r["fingerprint"], r["component_id"]) == (f"{prints[k]:016x}", components[k])
 
 
-def test_links_lose_nothing(spark):
+@pytest.mark.parametrize("hot", [1024, 8])
+def test_links_lose_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     random.seed(5)
     prints = []
     for _ in range(60):
