@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, mixing, quality, secrets, simhash
+from sparkloom.llm import bpe, mixing, quality, secrets, similar
 from sparkloom.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: 256-bit SimHash of sets of five-word shingles: texts with a similarity of 0.8 differ in 39 bits on average.
-NEAR_BITS, NEAR_WORDS = 39, 5
+#: Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 (similar.TOP / similar.BOTTOM).
+NEAR_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs.select(*COLUMNS), most=NEAR_BITS, width=NEAR_WORDS, words=4)
+    return similar.drop_similar(docs.select(*COLUMNS), width=NEAR_WORDS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

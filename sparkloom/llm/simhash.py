@@ -20,22 +20,29 @@ SEGMENTS, RADII = (22, 21, 21), (1, 1, 0)
 SMALL = 8
 
 
-def fingerprint(text: str, width: int, words: int = 1, repeats: bool = True) -> bytes:
-    """SimHash of a text's word shingles, 64 bits a word, big-endian.
-
-    A bit is 1 if it is set in over half of the shingles' hashes: XXH64 with seed 42 for the first word, remixed for
-    more. Only A-Z are lower-cased. A text of fewer words is one shingle; without any the fingerprint is zero.
-    """
+def shingles(text: str, width: int) -> np.ndarray:
+    """XXH64 with seed 42 of each run of width words; a text of fewer words is one run. Only A-Z are lower-cased."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return bytes(8 * words)
+        return np.zeros(0, dtype=np.uint64)
     data = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = max(1, len(tokens) - width + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:k].tolist(), ends[-k:].tolist(), strict=True)
-    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=k)
+    return np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=k)
+
+
+def fingerprint(text: str, width: int, words: int = 1, repeats: bool = True) -> bytes:
+    """SimHash of a text's word shingles, 64 bits a word, big-endian.
+
+    A bit is 1 if it is set in over half of the shingles' hashes: XXH64 with seed 42 for the first word, remixed for
+    more. Only A-Z are lower-cased. A text of fewer words is one shingle; without any the fingerprint is zero.
+    """
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return bytes(8 * words)
     if not repeats:
         hashes = np.unique(hashes)
     out = []
