@@ -30,7 +30,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are whole, so this finds what [0-9a-f]+ of 32 or more does
 # What the method adds: private keys, JSON web tokens, prefixed access tokens.
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 PREFIXED = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{20,})")
 #: Every match of ASSIGN holds one of these.
@@ -44,6 +44,22 @@ def _assign(text: str) -> list[Span]:
     return [m.span() for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
 
 
+def _pem(text: str) -> list[Span]:
+    """Keys from BEGIN to the END of the same label, whatever headers, escapes or quotes are between.
+
+    Where another BEGIN or nothing comes first, the span is the run of key characters, as PEM has it.
+    """
+    out, at = [], 0
+    while m := PEM.search(text, at):
+        after = m.end(1) + len("-----")
+        begin = text.find("-----BEGIN ", after)
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, after, begin if begin >= 0 else len(text))
+        at = max(m.end(), end + len(mark) if end >= 0 else 0)
+        out.append((m.start(), at))
+    return out
+
+
 def _plain(pattern: re.Pattern, least: int = 1) -> Callable[[str], list[Span]]:
     return lambda text: [m.span() for m in pattern.finditer(text) if m.end() - m.start() >= least]
 
@@ -53,7 +69,7 @@ RULES = (
     Rule("assign", 1, _assign),
     Rule("access", 1, _plain(ACCESS, 16)),
     Rule("hex", 1, _plain(HEX, 32)),
-    Rule("pem", 1, _plain(PEM)),
+    Rule("pem", 2, _pem),
     Rule("jwt", 1, _plain(JWT)),
     Rule("prefixed", 1, _plain(PREFIXED)),
 )
