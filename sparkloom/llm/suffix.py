@@ -3,8 +3,8 @@
 A 400-byte string has one anchor: the first of its 64-byte grams with the smallest hash. Equal strings have equal anchors
 in the same place, so if a shard holds all text around the grams of some hashes, equal strings always share a
 shard. Grams that occur once can't anchor a repeat, and their text goes nowhere. Each shard sorts the suffixes of its
-text and finds long common prefixes. The text of a very frequent gram is split over several shards, whose sorted strings are
-merged by binary search.
+text and finds long common prefixes. The text of a very frequent gram is split over several shards, whose strings then meet
+by digest.
 """
 
 from __future__ import annotations
@@ -311,7 +311,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     both = around.mapInArrow(search, RANGES)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted strings of several shards: one that binary search finds more than once is repeated where a shard held it once.
+        """Strings of several shards, met by digest: a digest that is there more than once is repeated where a shard held it once.
 
         Ranges without a digest are settled and pass.
         """
