@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, mixing, quality, secrets, similar
+from sparkloom.llm import bpe, mixing, quality, secrets, simhash
 from sparkloom.llm.common import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return similar.drop_similar(docs.select(*COLUMNS), width=NEAR_WORDS)
+    """One document of each group of near copies, found by wide fingerprints and checked exactly."""
+    return simhash.drop_near_copies(docs.select(*COLUMNS), width=NEAR_WORDS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,50 +1,48 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing.
+
+`near_components` links 64-bit fingerprints of a few differing bits, without a miss. `drop_near_copies` takes wide
+fingerprints to find texts of a high Jaccard similarity of their shingle sets, and checks what they link exactly.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, join_counted
+from sparkloom.llm.common import cut, join_counted, written
+from sparkloom.llm.graph import connect
+from sparkloom.llm.shingle import shingles
+from sparkloom.llm.similar import BOTTOM, TOP, set_key, similar_roots
 
-SEED = 42
 #: Bits of the segments of each 64-bit word, and whether their balls have radius 1 (or 0).
 SEGMENTS, RADII = (22, 21, 21), (1, 1, 0)
 #: Buckets up to this size are compared in one sweep of all rows.
 SMALL = 8
+#: Share of the bits in which two texts of the least similarity differ on average, and the share that is searched: mean and
+#: over four deviations of 256 bits.
+FAR, REACH = math.acos(2 * TOP / (BOTTOM + TOP)) / math.pi, 0.25
+#: Pairs of the least similarity that meet in no segment at most, as computed.
+MISS = 0.01
+#: Fingerprints that one task compares, on average; a segment's value is frequent if it has over 1 / FREQUENT of all.
+GATHERED, FREQUENT = 1 << 15, 4096
+#: Fingerprints that may share a segment's value, however few there are.
+RARE = 64
 
 
-def shingles(text: str, width: int) -> np.ndarray:
-    """XXH64 with seed 42 of each run of width words; a text of fewer words is one run. Only A-Z are lower-cased."""
-    tokens = text.encode().lower().split()
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    data = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = max(1, len(tokens) - width + 1)
-    digest = xxhash.xxh64_intdigest
-    spans = zip(starts[:k].tolist(), ends[-k:].tolist(), strict=True)
-    return np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=k)
-
-
-def fingerprint(text: str, width: int, words: int = 1, repeats: bool = True) -> bytes:
-    """SimHash of a text's word shingles, 64 bits a word, big-endian.
+def sign_bits(hashes: np.ndarray, words: int = 1) -> bytes:
+    """SimHash of hashes, 64 bits a word, big-endian: a bit is 1 if it is set in over half of them.
 
-    A bit is 1 if it is set in over half of the shingles' hashes: XXH64 with seed 42 for the first word, remixed for
-    more. Only A-Z are lower-cased. A text of fewer words is one shingle; without any the fingerprint is zero.
+    They count as they are for the first word and remixed for more; of no hashes it is zero.
     """
-    hashes = shingles(text, width)
     if not len(hashes):
         return bytes(8 * words)
-    if not repeats:
-        hashes = np.unique(hashes)
     out = []
     for w in range(words):
         h = hashes
@@ -61,12 +59,12 @@ def fingerprint(text: str, width: int, words: int = 1, repeats: bool = True) ->
     return b"".join(out)
 
 
-def with_fingerprints(docs: DataFrame, width: int, words: int = 1, repeats: bool = True) -> DataFrame:
-    """docs with fingerprint, binary; a null text is an empty one."""
+def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """docs with fingerprint, binary: the SimHash of each text's word shingles, repeats included; a null text is an empty one."""
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t or "", width, words, repeats) for t in texts], dtype=object)
+        return pd.Series([sign_bits(shingles(t, width)) for t in texts], dtype=object)
 
     return docs.withColumn("fingerprint", of(F.coalesce("text", F.lit(""))))
 
@@ -173,32 +171,7 @@ def near_links(prints: DataFrame, most: int, words: int = 1, segments: Sequence[
     return met.mapInArrow(verify, "a binary, b binary")
 
 
-def connect(links: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each node's component, for nodes that have a link and aren't their own root.
-
-    Large stars and small stars in turn: each node's neighbours are linked to the smallest of them, until nothing
-    changes. Each round is a few joins of the links with themselves, and is cut; rows of a node with very many links
-    are not gathered in one task.
-    """
-    edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = edges.agg(mark).first()[0]
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both.filter("v > u"), least, "u", "n", 2 * before["n"])
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        # large has at most one row for each edge.
-        stars = join_counted(large, least, "u", "n", before["n"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(mark).first()[0]
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-
-
-def near_components(docs: DataFrame, most: int = 4, width: int = 4, words: int = 1, repeats: bool = True, radii: Sequence[int] = RADII) -> DataFrame:
+def near_components(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
     """Rows doc_id, text_hash (xxhash64 of the text), fingerprint, root and component_id, one for each row of docs.
 
     Fingerprints of at most `most` differing bits are linked; root is the smallest fingerprint that can be reached, component_id the
@@ -206,20 +179,211 @@ def near_components(docs: DataFrame, most: int = 4, width: int = 4, words: int =
     Equal fingerprints are one node, so copies make no links. Nulls are empty texts; repeated rows
     stay; an empty table gives an empty result; other columns of docs are left out.
     """
-    rows = cut(with_fingerprints(docs.select("doc_id", "text"), width, words, repeats).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "fingerprint"))
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("_least"))
-    roots = connect(near_links(nodes.select("fingerprint"), most, words, radii=radii))
-    placed = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    least = placed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    members = placed.join(least, "root").select("fingerprint", "root", "component_id")
-    return rows.join(members, "fingerprint").select("doc_id", "text_hash", "fingerprint", "root", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, most: int, width: int = 5, words: int = 4, radii: Sequence[int] = (1, 1, 1)) -> DataFrame:
-    """The rows of docs less all but one of each component: that of the smallest doc_id (nulls last), then text hash."""
-    found = near_components(docs, most, width, words, repeats=False, radii=radii)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    stay = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    rows = cut(with_fingerprints(docs.select("doc_id", "text"), width).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "fingerprint"))
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    roots = connect(near_links(nodes.select("fingerprint"), most))
+    placed = cut(nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+    total = placed.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    # Both a component and the copies of one fingerprint may be a large part of all rows.
+    members = cut(join_counted(placed, least, "root", "members", total["nodes"]).select("fingerprint", "copies", "root", "component_id"))
+    return join_counted(rows, members, "fingerprint", "copies", total["rows"]).select("doc_id", "text_hash", "fingerprint", "root", "component_id")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How wide fingerprints are searched: words of 64 bits, segments of so many bits, and those of them that name a group."""
+
+    words: int
+    bits: int
+    segments: int
+    top: int
+
+    @classmethod
+    def of(cls, count: int) -> Layout:
+        """For so many fingerprints.
+
+        A segment has as many values as there are fingerprints, so that chance meetings stay few; there are so many segments
+        that a pair of the least similarity has one of at most two differing bits with a chance of 1 - MISS. Where they have
+        more bits than a fingerprint they overlap.
+        """
+        bits = min(30, max(12, math.ceil(math.log2(count + 1))))
+        meet = sum(math.comb(bits, k) * FAR**k * (1 - FAR) ** (bits - k) for k in range(3))
+        segments = math.ceil(math.log(MISS) / math.log(1 - meet))
+        return cls(4 if bits * segments <= 512 else 8, bits, segments, min(bits - 4, max(0, math.ceil(math.log2((count + 1) / GATHERED)))))
+
+    @property
+    def most(self) -> int:
+        """Differing bits of a link."""
+        return int(64 * self.words * REACH)
+
+    @property
+    def close(self) -> int:
+        """Differing bits within which one of very many fingerprints stands for another."""
+        return int(64 * self.words * FAR)
+
+    def values(self, prints: np.ndarray) -> Iterator[np.ndarray]:
+        """The values of each segment; prints has a row of words for each fingerprint."""
+        size, wide = 64 * self.words, np.concatenate([prints, prints[:, :1]], axis=1)
+        for k in range(self.segments):
+            start = k * self.bits if self.bits * self.segments <= size else round(k * size / self.segments)
+            word, off = divmod(start, 64)
+            value = wide[:, word] << np.uint64(off)
+            if off:
+                value |= wide[:, word + 1] >> np.uint64(64 - off)
+            yield value >> np.uint64(64 - self.bits)
+
+
+def _matrix(column: pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _pairs_of(value: np.ndarray, prints: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with equal values and few differing bits (the sum of their reach), enough to join all such pairs."""
+    order = np.argsort(value, kind="stable")
+    ranked = value[order]
+    edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
+    sizes = np.diff(edges)
+    left, right = [], []
+    for d in range(1, min(64, int(sizes.max(initial=1)))):
+        i = np.flatnonzero(ranked[d:] == ranked[:-d])
+        i = i[(sizes <= 64)[np.searchsorted(edges, i, "right") - 1]]
+        for at in range(0, len(i), 1 << 18):
+            a, b = order[i[at : at + (1 << 18)]], order[i[at : at + (1 << 18)] + d]
+            near = _near(prints[a], prints[b]) <= reach[a] + reach[b]
+            left.append(a[near])
+            right.append(b[near])
+    for g in np.flatnonzero(sizes > 64):
+        rest = order[edges[g] : edges[g + 1]]
+        while len(rest):
+            root, rest = rest[0], rest[1:]
+            frontier = [root]
+            while frontier and len(rest):
+                at = frontier.pop()
+                near = _near(prints[rest], prints[at]) <= reach[rest] + reach[at]
+                frontier.extend(rest[near].tolist())
+                left.append(np.full(near.sum(), at))
+                right.append(rest[near])
+                rest = rest[~near]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def wide_links(prints: DataFrame, layout: Layout) -> DataFrame:
+    """a, b: links between node numbers of wide fingerprints, enough to join all that are near and meet in a segment.
+
+    prints has distinct node (long) and print (binary). A fingerprint is sent to the groups named by the top bits of its segments'
+    values and of those with one of these bits flipped; in a group the rest of the ball is enumerated, so that all values of
+    at most two differing bits meet. What meets is compared in full. Where very many have the same value, those near the
+    smallest of them are linked to it and it stands for them with a wider reach: this loses no link, but may make more.
+    """
+    words, bits, top = layout.words, layout.bits, layout.top
+    low = bits - top
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for k, value in enumerate(layout.values(_matrix(batch.column(1), words))):
+                    spot = pa.array((value | np.uint64(k << 32)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([spot, batch.column(0), batch.column(1)], names=["spot", "node", "print"])
+
+    each = prints.select("node", "print").mapInArrow(spots, "spot long, node long, print binary")
+    total = prints.count()
+    often = each.groupBy("spot").agg(F.count("*").alias("n"), F.min(F.struct("print", "node")).alias("one"))
+    # Fewer than FREQUENT in each segment.
+    often = F.broadcast(cut(often.filter(F.col("n") > max(RARE, total / FREQUENT)).select("spot", F.col("one.print").alias("rep"), F.col("one.node").alias("rep_node"))))
+    marked = each.join(often, "spot", "left")
+    distance = bits_between(F.col("print"), F.col("rep"), words)
+    absorbed = (F.col("node") != F.col("rep_node")) & (distance <= layout.close)
+    some = marked.filter("rep is not null").filter(absorbed).select(F.col("node").alias("a"), F.col("rep_node").alias("b"))
+    rest = marked.filter(~F.coalesce(absorbed, F.lit(False))).select("spot", "node", "print", F.coalesce(F.col("node") == F.col("rep_node"), F.lit(False)).alias("wide"))
+    value, segment = F.col("spot").bitwiseAND((1 << 32) - 1), F.shiftright("spot", 32)
+    named = F.shiftright(value, low)
+    groups = F.array(named, *(named.bitwiseXOR(F.lit(1 << b)) for b in range(top)))
+    sent = rest.select(F.explode(groups).alias("name"), segment.alias("segment"), "node", "print", "wide")
+    sent = sent.select((F.col("segment") * (1 << top) + F.col("name")).alias("group"), "node", "print", "wide")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(group: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            prints = _matrix(rows["print"], words)
+            segment, name = divmod(group, 1 << top)
+            value = next(v for k, v in enumerate(layout.values(prints)) if k == segment)
+            own = np.flatnonzero(value >> np.uint64(low) == name)
+            value &= np.uint64((1 << low) - 1)
+            # Two reach `most` together; one that stands for others reaches as much further as these may be from it.
+            reach = layout.most / 2 + np.where(rows["wide"].to_numpy(), layout.close, 0)
+            flipped = [value[own] ^ np.uint64(1 << b) for b in range(low)]
+            number = np.concatenate([np.arange(len(prints)), *[own] * low])
+            a, b = _pairs_of(np.concatenate([value, *flipped]), prints[number], reach[number])
+            a, b = number[a], number[b]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+            nodes = rows["node"].to_numpy()
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[pair[:, 0]]), pa.array(nodes[pair[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            at, groups = 0, batch.column(0).to_numpy()
+            while at < len(groups):
+                end = int(np.searchsorted(groups, groups[at], "right"))
+                if held and held[0].column(0)[0].as_py() != groups[at]:
+                    yield from links(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from links(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+
+    met = sent.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
+    return some.unionByName(met)
+
+
+def bits_between(a: Column, b: Column, words: int) -> Column:
+    """Differing bits of two binary columns of so many 64-bit words."""
+
+    def word(x: Column, k: int, half: int) -> Column:
+        return F.conv(F.hex(F.substring(x, 8 * k + 4 * half + 1, 4)), 16, 10).cast("long")
+
+    return sum((F.bit_count(word(a, k, h).bitwiseXOR(word(b, k, h))) for k in range(words) for h in (0, 1)), F.lit(0))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of docs less all but one of each component of texts whose sets of width words are similar.
+
+    Similar is a Jaccard similarity of TOP / BOTTOM or more. Fingerprints of the sets find what may be similar (see Layout for the
+    chance that a pair at the bound is missed); within each component of near fingerprints similarity is then computed from
+    the whole sets, and what isn't similar is parted again. The row of the smallest doc_id (nulls last), then row hash, stays. All
+    texts without words are alike, so one of them stays; a null text is an empty one; of repeated rows one stays; an empty table
+    gives an empty result; columns of the input that are named like working ones are kept as they are.
+    """
+    layout = Layout.of(docs.count())
+
+    @F.pandas_udf("binary")
+    def key_and_print(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> bytes:
+            every = np.unique(shingles(text, width))
+            return set_key(every) + sign_bits(every, layout.words)
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    text = F.coalesce("text", F.lit(""))
+    # The key of a row, never null: a digest of its id and text.
+    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), text)))
+    both = docs.select("doc_id", row.alias("row"), key_and_print(text).alias("both"))
+    rows = cut(both.select("doc_id", "row", F.substring("both", 1, 16).alias("key"), F.substring("both", 17, 8 * layout.words).alias("print")))
+    # A row for each distinct set; equal sets have equal fingerprints.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    sets = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.min("print").alias("print")).withColumn("node", F.xxhash64("print")))
+    links = wide_links(sets.groupBy("node").agg(F.min("print").alias("print")), layout)
+    roots = connect(links)
+    placed = cut(sets.drop("print").join(roots, "node", "left").withColumn("scope", F.coalesce("root", "node")).drop("root", "node"))
+    several = placed.groupBy("scope").agg(F.count("*").alias("n")).filter("n > 1")
+    several = cut(several)
+    members = placed.agg(F.count("*")).first()[0]
+    linked = join_counted(placed, several, "scope", "n", members).select("key", "scope", F.col("first.row").alias("row"))
+    texts = docs.select(row.alias("row"), text.alias("text")).join(linked, "row").dropDuplicates(["row"]).select("key", "scope", "text")
+    same = similar_roots(written(texts, "sets"), width)
+    found = placed.join(same, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    stay = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of shingle sets: prefix filtering, then a check of every pair."""
+"""The exact check of near-duplicates: Jaccard similarity of the whole shingle sets of what fingerprints have linked."""
 
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import HOT, cut, join_counted, written
-from sparkloom.llm.simhash import connect, shingles
+from sparkloom.llm.common import cut, join_counted
+from sparkloom.llm.graph import connect
+from sparkloom.llm.shingle import shingles
 
 #: The least similarity, as a fraction.
 TOP, BOTTOM = 4, 5
 #: Cells of the table of shingle counts, and the parts in which it is summed.
 CELLS, PARTS = 1 << 20, 64
+#: Pairs of one set that a task compares, on average.
+PAIRS = 1024
 TOKENS = "token long, key binary, n int"
 
 
@@ -74,12 +77,12 @@ def prefix(shingle: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def with_texts(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
-    """pairs (a table) with text_a and text_b; the text of an a with over 1 / HOT of the pairs is broadcast."""
+    """pairs (a table) with text_a and text_b. The pairs of an a are dealt in parts of about PAIRS, each with a copy of its text."""
     of_a, of_b = (nodes.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    hot = F.broadcast(cut(pairs.groupBy("a").agg(F.count("*").alias("_n")).filter(F.col("_n") > total / HOT).select("a")))
-    some = pairs.join(F.broadcast(of_a.join(hot, "a")), "a")
-    rest = pairs.join(hot, "a", "left_anti").join(of_a, "a")
-    return some.unionByName(rest).join(of_b, "b")
+    per = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS)))
+    dealt = join_counted(pairs, per, "a", "n", total).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    copies = of_a.join(per, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(of_b, "b").join(copies, ["a", "part"])
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -95,9 +98,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def similar_roots(nodes: DataFrame, width: int) -> DataFrame:
-    """key, root: the smallest key of each component of similar sets, for those that aren't their own. nodes: key and text, a table.
+    """key, root: the smallest key of each component of similar sets, for those that aren't their own.
 
-    Sets that share a shingle of both prefixes are compared in two rounds: each with the smallest of about its size there, and
+    nodes is a table of distinct key, scope (long) and text; only sets of one scope are compared. Sets that share a shingle of both prefixes are compared in two rounds: each with the smallest of about its size there, and
     then all those pairs that these links have not yet brought into one component. What is left out is joined already.
     """
     levels = nodes.sparkSession.sparkContext.broadcast(shingle_counts(nodes, width))
@@ -109,11 +112,14 @@ def similar_roots(nodes: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width) for t in batch.column(1).slice(at, 256).to_pylist()]
                 firsts = [prefix(s, levels.value) for s in sets]
                 lengths = [len(f) for f in firsts]
-                rows = pa.array(np.repeat(np.arange(len(sets)), lengths))
+                rows = np.repeat(np.arange(len(sets)), lengths)
                 n = pa.array(np.repeat([len(s) for s in sets], lengths).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), keys.take(rows), n], names=["token", "key", "n"])
+                # A shingle of one scope is another token than that of another.
+                scope = batch.column(2).slice(at, 256).to_numpy().view(np.uint64)[rows] * np.uint64(0x9E3779B97F4A7C15)
+                token = (np.concatenate(firsts) ^ scope).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(token), keys.take(pa.array(rows)), n], names=["token", "key", "n"])
 
-    every = nodes.select("key", "text").mapInArrow(tokens, TOKENS)
+    every = nodes.select("key", "text", "scope").mapInArrow(tokens, TOKENS)
     shared = every.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
     shared = cut(shared)
     total = shared.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
@@ -139,28 +145,3 @@ def similar_roots(nodes: DataFrame, width: int) -> DataFrame:
     apart = both.join(few, "token").filter("root != root_a and (root = main or a < key)").filter(near)
     more = confirmed(apart.select("a", F.col("key").alias("b")), nodes, width)
     return connect(links.union(more)).withColumnRenamed("node", "key")
-
-
-def drop_similar(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of docs less all but one of each component of texts whose sets of width words are similar.
-
-    Similar is a Jaccard similarity of TOP / BOTTOM or more, found without a miss and computed from the whole sets (of 64-bit
-    hashes). The row of the smallest doc_id (nulls last), then text hash, stays. Texts without words are alike; a null text is
-    an empty one; an empty table gives an empty result.
-    """
-
-    @F.pandas_udf("binary")
-    def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_key(shingle_set(t, width)) for t in texts], dtype=object)
-
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), key_of(text).alias("key"), text.alias("text"))
-    rows = cut(keyed.drop("text"))
-    nodes = written(keyed.select("key", "text").dropDuplicates(["key"]), "sets")
-    roots = similar_roots(nodes, width)
-    found = rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    stay = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    all_rows = docs.withColumn("_text_hash", F.xxhash64(text))
-    kept = all_rows.join(stay, all_rows["doc_id"].eqNullSafe(stay["_id"]) & (all_rows["_text_hash"] == stay["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)

@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, common, mixing, quality, secrets, sharding, simhash, suffix, topk, urls
+from sparkloom.llm import bpe, chat, common, graph, mixing, quality, secrets, sharding, simhash, suffix, topk, urls
 from sparkloom.llm.common import join_counted, shared_folder
 from sparkloom.llm.queries import QUERIES, RULES
 
@@ -265,7 +265,7 @@ def test_links_lose_nothing(spark, monkeypatch, hot):
             prints.append(x)
     prints = dict.fromkeys(prints)
     df = spark.createDataFrame([(x.to_bytes(8, "big"),) for x in prints], "fingerprint binary")
-    roots = {bytes(r[0]): bytes(r[1]) for r in simhash.connect(simhash.near_links(df, 4)).collect()}
+    roots = {bytes(r[0]): bytes(r[1]) for r in graph.connect(simhash.near_links(df, 4)).collect()}
     want = plain_components({x: x for x in prints}, 4)
     assert all(roots.get(x.to_bytes(8, "big"), x.to_bytes(8, "big")) == want[x].to_bytes(8, "big") for x in prints)
 
@@ -275,7 +275,7 @@ def test_long_chains_connect(spark):
     random.seed(1)
     random.shuffle(edges)
     df = spark.createDataFrame([tuple(x.to_bytes(8, "big") for x in e) for e in edges], "a binary, b binary")
-    roots = {int.from_bytes(r[0], "big"): int.from_bytes(r[1], "big") for r in simhash.connect(df).collect()}
+    roots = {int.from_bytes(r[0], "big"): int.from_bytes(r[1], "big") for r in graph.connect(df).collect()}
     assert all(roots[i] == 0 for i in range(1, 301)) and roots[1003] == 1002 and 0 not in roots
 
 
@@ -284,25 +284,7 @@ def test_simhash_edges(spark, edge_docs):
     assert len(got) == edge_docs.count()
     by = {r["doc_id"]: r for r in got}
     assert by[2]["component_id"] == by[3]["component_id"] == by[6]["component_id"] == 2 and by[5]["component_id"] == 4
-    kept = simhash.drop_near_copies(edge_docs, most=39)
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (1, 2, 4, 7, 8)] + [(True, 0)]
-    assert simhash.near_components(edge_docs.limit(0)).count() == 0 == simhash.drop_near_copies(edge_docs.limit(0), most=39).count()
-
-
-def test_wide_fingerprints_find_near_copies(spark):
-    random.seed(7)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    data, near = [], 0
-    for k in range(300):
-        words = random.choices(vocabulary, k=300)
-        data.append((2 * k, " ".join(words)))
-        if k % 2:
-            for _ in range(3):  # about 0.9 of the five-word shingles stay
-                words[random.randrange(300)] = "changed"
-            data.append((2 * k + 1, " ".join(words)))
-            near += 1
-    left = simhash.drop_near_copies(spark.createDataFrame(data, "doc_id long, text string"), most=39).count()
-    assert 300 <= left <= 300 + 0.05 * near
+    assert simhash.near_components(edge_docs.limit(0)).count() == 0
 
 
 # 7 -----------------------------------------------------------------------------------------------
