@@ -1,0 +1,120 @@
+"""Each stage of the pipeline against plain Python or SQL, on what its predecessor kept; and on awkward rows."""
+
+import base64
+import hashlib
+import re
+from array import array
+from collections import Counter
+
+import corpus_pipeline
+import duckdb
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from sparkloom.llm import mixing, quality
+from sparkloom.llm.queries import QUERIES
+from test_operators import PLAIN
+from test_similar import plain_roots
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows before the first stage and after each, as run() makes them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [("documents", docs.collect())]
+    folder = tmp_path_factory.mktemp("stages")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == corpus_pipeline.COLUMNS
+        out.append((name, docs.collect()))
+    return dict(out)
+
+
+def ids(rows):
+    return sorted(r["doc_id"] for r in rows)
+
+
+def test_quality_rules_keep_what_the_rules_keep(spark, stages):
+    kept = {r["doc_id"] for r in QUERIES["op8_quality"](spark, SF).collect() if r["kept"]}
+    assert stages["quality rules"] and ids(stages["quality rules"]) == sorted(kept)
+    before = {r["doc_id"]: r for r in stages["documents"]}
+    assert all(r == before[r["doc_id"]] for r in stages["quality rules"])
+
+
+def test_one_near_copy_of_each_group_stays(stages):
+    before = {r["doc_id"]: r for r in stages["quality rules"]}
+    want = set(plain_roots([(k, r["text"]) for k, r in before.items()]).values())
+    left = ids(stages["near duplicates"])
+    assert len(left) == len(set(left)) and want <= set(left) and len(left) - len(want) <= 1  # a pair at the bound may be missed
+    assert all(r == before[r["doc_id"]] for r in stages["near duplicates"])
+
+
+def test_secrets_are_replaced_and_all_else_stays(stages):
+    before = {r["doc_id"]: r for r in stages["near duplicates"]}
+    assert ids(stages["secret scan"]) == sorted(before)
+    changed = 0
+    for r in stages["secret scan"]:
+        old = before[r["doc_id"]]["text"]
+        base = any(len(m[group]) >= least for pattern, group, least in PLAIN.values() for m in re.finditer(pattern, old))
+        assert not any(len(m[group]) >= least for pattern, group, least in PLAIN.values() for m in re.finditer(pattern, r["text"]))
+        assert not base or "[SECRET]" in r["text"]
+        assert r["n_chars"] == (len(r["text"]) if r["text"] != old else before[r["doc_id"]]["n_chars"])
+        # Between the marks the text is as it was.
+        assert re.fullmatch(".*?".join(map(re.escape, r["text"].split("[SECRET]"))), old, re.DOTALL)
+        changed += r["text"] != old
+    assert changed
+
+
+def test_mix_takes_what_sql_takes(stages, spark, tmp_path):
+    rows = stages["secret scan"]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents/*.parquet'")
+    want = {k: taken // size for k, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({mixing.MIX_SQL})").fetchall()}
+    got = Counter(r["doc_id"] for r in stages["mixing"])
+    assert {k: n for k, n in want.items() if n} == got
+
+
+def test_encoding_agrees_with_the_library(stages):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = {r["doc_id"]: r["text"] for r in stages["mixing"]}
+    assert Counter(ids(stages["encoding"])) == Counter(ids(stages["mixing"]))
+    for r in stages["encoding"]:
+        own = library.encode_ordinary(text[r["doc_id"]])
+        assert r["n_tokens"] == len(own) and bytes(r["ids"]) == array("I", own).tobytes()
+        assert r["ids_sha256"] == hashlib.sha256(bytes(r["ids"])).hexdigest()
+
+
+def test_run_returns_the_last_stage(spark, stages):
+    got = corpus_pipeline.run(spark, SF)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, stages["encoding"]), key=str)
+
+
+def test_stage_edges(spark, edge_docs):
+    """Awkward rows go through every stage, and an empty table gives an empty one."""
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        rows[name] = stage(spark, edge_docs, SF).collect()
+        assert stage(spark, edge_docs.limit(0), SF).count() == 0
+    assert all(r["text"] is not None for r in rows["quality rules"]) and quality.MIN_WORDS > 1
+    assert sorted(str(r["doc_id"]) for r in rows["near duplicates"]) == ["1", "2", "4", "7", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in rows["secret scan"]) == sorted(str(r["doc_id"]) for r in edge_docs.collect())
+    assert {r["text"] for r in rows["secret scan"] if r["doc_id"] in (2, 3)} == {None, ""}
+    assert set(r["doc_id"] for r in rows["mixing"]) <= set(r["doc_id"] for r in edge_docs.select("doc_id").collect())
+    assert len(rows["encoding"]) == edge_docs.count() and {r["n_tokens"] for r in rows["encoding"] if r["doc_id"] in (2, 3)} == {0}
+
+
+def test_repeated_rows_and_ties(spark):
+    df = spark.createDataFrame([(1, "the same words in a row as ever", "en", "a", 31)] * 5 + [(2, "the same words in a row as ever", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()] == [1]
+    assert corpus_pipeline.secret_scan(spark, df, SF).count() == 6
+    copies = corpus_pipeline.mix_sources(spark, df, SF).groupBy("doc_id").agg(F.count("*").alias("n")).collect()
+    assert all(r["n"] % (5 if r["doc_id"] == 1 else 1) == 0 for r in copies)
