@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, mixing, quality, secrets, sharding, simhash, suffix, topk, urls
+from sparkloom.llm import bpe, chat, mixing, oracles, quality, secrets, sharding, simhash, suffix, topk, urls
 from sparkloom.llm.common import shared_folder, table
 
 # The host rules of op3.
@@ -37,9 +37,8 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
-    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    return out.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = sharding.shard_report(table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +73,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return suffix.repeat_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_chat, op3_urls, op4_shards, op5_bpe, op6_simhash, op7_topk, op8_quality, op9_secrets, op10_suffix)
 }
-ORACLES: dict[str, str] = {"op1_mix": mixing.MIX_SQL, "op2_chat": chat.CHAT_SQL, "op7_topk": topk.TOP_SQL}
+ORACLES: dict[str, str] = {
+    "op1_mix": mixing.MIX_SQL,
+    "op2_chat": chat.CHAT_SQL,
+    "op6_simhash": oracles.SIMHASH_SQL,
+    "op7_topk": topk.TOP_SQL,
+    "op9_secrets": oracles.SECRETS_SQL,
+    "op10_suffix": oracles.REMOVAL_SQL,
+}

@@ -60,16 +60,31 @@ def assign_shards(docs: DataFrame, shards: int = 8, pieces: int = 64) -> DataFra
     their own with no bytes; rows that agree in text and doc_id are never parted; an empty
     table gives an empty result; columns of the input named like an added one are replaced.
     """
+    rows = measured(docs.drop(*ADDED))
+    return _assigned(rows, cut(rows.select("_key", "_deal", "size", "tokens")), shards, pieces).drop("_key", "_deal")
+
+
+def shard_report(docs: DataFrame, shards: int = 8, pieces: int = 64) -> DataFrame:
+    """doc_id, size, text_crc32 (unsigned, of the UTF-8 text), shard and slot of every row, as by assign_shards; no text is shuffled."""
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    rows = cut(measured(docs.select("doc_id", "text")).select("doc_id", "size", "tokens", crc, "_key", "_deal"))
+    return _assigned(rows, rows.select("_key", "_deal", "size", "tokens"), shards, pieces).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with size and tokens, _key (of the text) and _deal (of the id)."""
     text = F.col("text")
-    rows = docs.drop(*ADDED).withColumns(
-        {
-            "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
-            "tokens": words(text),
-            "_key": F.coalesce(F.unhex(F.md5(text)), F.lit(b"")),
-            "_deal": F.xxhash64("doc_id"),
-        }
-    )
-    narrow = cut(rows.select("_key", "_deal", "size", "tokens"))
+    added = {
+        "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
+        "tokens": words(text),
+        "_key": F.coalesce(F.unhex(F.md5(text)), F.lit(b"")),
+        "_deal": F.xxhash64("doc_id"),
+    }
+    return docs.withColumns(added)
+
+
+def _assigned(rows: DataFrame, narrow: DataFrame, shards: int, pieces: int) -> DataFrame:
+    """rows, as by measured, with shard and slot; narrow has their working columns and is a table."""
     demand = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     totals = narrow.agg(*demand).first()
     groups = narrow.groupBy("_key").agg(*demand)
@@ -84,7 +99,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, pieces: int = 64) -> DataFra
     whole = place_whole(np.array([[r[c] for c in names] for r in large], dtype=np.float64).reshape(-1, 3) / scale, left)
     fixed = [(bytes(r["_key"]), 0, int(s)) for r, s in zip(large, whole, strict=True) if s >= 0]
     split = [(bytes(r["_key"]), math.ceil(r["_share"])) for r, s in zip(large, whole, strict=True) if s < 0]
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     ways = F.broadcast(spark.createDataFrame([(k, 1) for k, _, _ in fixed] + split, "_key binary, _parts int"))
 
     def parted(df: DataFrame) -> DataFrame:
@@ -132,4 +147,4 @@ def assign_shards(docs: DataFrame, shards: int = 8, pieces: int = 64) -> DataFra
     offsets = counts.select("shard", "_bucket", before.alias("_before"))
     number = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "_key"))
     out = out.withColumn("_bucket", bucket).join(offsets, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + number - 1)
-    return out.select(*rows.drop("_key", "_deal").columns, "shard", "slot")
+    return out.select(*rows.columns, "shard", "slot")

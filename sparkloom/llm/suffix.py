@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import join_counted, written
+from sparkloom.llm.common import cut, join_counted
 
 LENGTH, GRAM = 400, 64
 #: Texts of a gram that go to one shard, on average; bytes sorted at once.
-SPLIT, BLOCK = 4096, 2 << 20
+SPLIT, BLOCK = 1024, 2 << 20
 #: Runs of starts that are held before they are handed on.
 HELD = 1 << 16
 #: Symbols that the suffix sort starts with: as many as fit into 63 bits.
@@ -258,7 +258,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     long = texts.select("key", "text", "times")
     # Written, as it is read for the counts and for both parts of the join; some twenty bytes for each run of starts.
-    found = written(long.mapInArrow(find_anchors, "key binary, gram long, first long, last long, times long"), "grams")
+    found = cut(long.mapInArrow(find_anchors, "key binary, gram long, first long, last long, times long"), "grams")
     often = found.groupBy("gram").agg(F.sum("times").alias("_all"), F.count("*").alias("_places")).filter("_all > 1")
     often = often.select("gram", "_places", F.ceil(F.col("_places") / SPLIT).alias("parts"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("key", "first"), F.col("parts"))).otherwise(-1).alias("part")
@@ -352,21 +352,20 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return both.repartition(dealt).sortWithinPartitions("digest").mapInArrow(merge, RANGES).select("key", "first", "last")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept, the UTF-8 bytes (binary) that stay.
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept")
 
-    Each byte goes that is covered by a `length`-byte string which also starts anywhere else, in the same row or
-    another; all strings are judged on the input. A null text is an empty one. Equal texts of at least that length go whole; shorter
-    ones stay. Matches never cross rows. An empty table gives an empty result; columns of the
-    input named like an added one are replaced.
-    """
-    added = ["n_bytes", "n_removed", "n_spans", "kept"]
-    docs = docs.drop(*added)
-    texts = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("times"))
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """key, text and times, the rows that have the text; a null text is an empty one."""
+    return docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("times"))
+
+
+def stripped(texts: DataFrame, length: int) -> DataFrame:
+    """_key, _times, n_bytes, n_removed, n_spans and kept of each of the distinct texts."""
     ranges = repeated_ranges(texts, length).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_key", *added]
+        names = ["_key", "_times", *ADDED]
         for batch in batches:
             out = []
             for key, text, times, own in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("key", "text", "times", "ranges")), strict=True):
@@ -379,9 +378,30 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     steps[r["last"] + length] -= 1
                 gone = np.cumsum(steps)[:-1] > 0
                 kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                out.append((key.as_py(), len(data), int(gone.sum()), len(runs(gone)[0]), kept))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                out.append((key.as_py(), n, len(data), int(gone.sum()), len(runs(gone)[0]), kept))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    result = texts.join(ranges, "key", "left").mapInArrow(strip, "_key binary, n_bytes long, n_removed long, n_spans long, kept binary")
-    return docs.withColumn("_key", text_key(F.col("text"))).join(result, "_key").select(*docs.columns, *added)
+    return texts.join(ranges, "key", "left").mapInArrow(strip, "_key binary, _times long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept, the UTF-8 bytes (binary) that stay.
+
+    Each byte goes that is covered by a `length`-byte string which also starts anywhere else, in the same row or
+    another; all strings are judged on the input. A null text is an empty one. Equal texts of at least that length go whole; shorter
+    ones stay. Matches never cross rows. An empty table gives an empty result; columns of the
+    input named like an added one are replaced.
+    """
+    docs = docs.drop(*ADDED)
+    result = cut(stripped(distinct_texts(docs), length), "stripped")
+    rows = docs.withColumn("_key", text_key(F.col("text")))
+    return join_counted(rows, result, "_key", "_times", docs.count()).select(*docs.columns, *ADDED)
+
+
+def repeat_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, as by drop_repeats; what stays isn't shuffled."""
+    numbers = ADDED[:3]
+    result = cut(stripped(distinct_texts(docs), length).select("_key", "_times", *numbers, F.sha2("kept", 256).alias("kept_sha256")))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("_key"))
+    return join_counted(rows, result, "_key", "_times", docs.count()).select("doc_id", *numbers, "kept_sha256")
