@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of training: labelled rows, and buckets for words and for characters each.
 ROWS, BUCKETS = 3_000, 1 << 13
+#: Labelled rows that a step of the fit handles at once.
+FITTED = 200
 #: A text is kept where the calibrated probability of quality is at least this.
 KEEP = 0.5
 SYMBOLS = "#*$%&|<>"
@@ -99,26 +101,33 @@ class Classifier:
     def __init__(self) -> None:
         self.weights, self.bias, self.slope, self.shift = np.zeros(2 * BUCKETS), 0.0, 1.0, 4.0
 
-    def fit(self, texts: list[str], labels: np.ndarray, steps: int = 150) -> Classifier:
-        """With labels of one kind only, or none, every text is kept."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = 150) -> Classifier:
+        """rows: features of texts. With labels of one kind only, or none, every text is kept."""
         if len(set(labels.tolist())) < 2:
             return self
-        rows = [features(t) for t in texts]
         held = np.arange(len(rows)) % 5 == 4
         if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
             held = np.zeros(len(rows), dtype=bool)
         own = [r for r, h in zip(rows, held, strict=True) if not h]
         y = labels[~held].astype(float)
-        at, value = np.concatenate([r[0] for r in own]), np.concatenate([r[1] for r in own])
-        row = np.repeat(np.arange(len(own)), [len(r[0]) for r in own])
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))  # both kinds count alike
+        # Some rows at a time: the driver holds one copy of the features and little more.
+        parts = []
+        for rows_ in np.array_split(np.arange(len(own)), -(-len(own) // FITTED)):
+            some = [own[i] for i in rows_]
+            parts.append((rows_, np.concatenate([r[0] for r in some]), np.concatenate([r[1] for r in some]), [len(r[0]) for r in some]))
+        del own
         w, b, rate = np.zeros(2 * BUCKETS), 0.0, 4.0
         mw, mb = np.zeros_like(w), 0.0
         for _ in range(steps):
-            z = np.bincount(row, weights=value * (w + 0.9 * mw)[at], minlength=len(own)) + b + 0.9 * mb
-            error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            slope = np.bincount(at, weights=value * error[row], minlength=2 * BUCKETS) + 1e-4 * w
-            mw, mb = 0.9 * mw - rate * slope, 0.9 * mb - rate * error.sum()
+            ahead, slope, total = w + 0.9 * mw, 1e-4 * w, 0.0
+            for rows_, at, value, sizes in parts:
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                z = np.bincount(row, weights=value * ahead[at], minlength=len(sizes)) + b + 0.9 * mb
+                error = weight[rows_] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows_])
+                slope += np.bincount(at, weights=value * error[row], minlength=2 * BUCKETS)
+                total += error.sum()
+            mw, mb = 0.9 * mw - rate * slope, 0.9 * mb - rate * total
             w, b = w + mw, b + mb
         self.weights, self.bias = w, b
         sample = held if held.any() else ~held
@@ -150,13 +159,22 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Classifier:
     """A classifier from at most rows labelled texts, those of the lowest hash of doc_id; all of them up to that bound.
 
-    Rows without doc_id or quality don't train; of several labels of a document each counts.
+    Rows without doc_id or quality don't train; of several different labels of a document each counts, with one text.
     """
     known = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    # At most `rows` pairs of numbers, so that they can be sent to every task.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text").limit(rows).collect()
-    return Classifier().fit([r["text"] or "" for r in sample], np.array([int(r["quality"] > 0) for r in sample], dtype=int))
+    # At most `rows` pairs of numbers, so that they can be sent to every task. Of a document's texts one trains.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
+    found = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    @F.pandas_udf("at binary, value binary")
+    def sparse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(at.astype(np.uint16).tobytes(), value.tobytes()) for at, value in map(features, texts)], columns=["at", "value"])
+
+    # The driver gets no text: of each at most 2 * BUCKETS places and values, of six bytes.
+    sample = found.select("doc_id", "quality", sparse("text").alias("f")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect()
+    vectors = [(np.frombuffer(r["f"]["at"], dtype=np.uint16), np.frombuffer(r["f"]["value"], dtype=np.float32)) for r in sample]
+    return Classifier().fit(vectors, np.array([int(r["quality"] > 0) for r in sample], dtype=int))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, rows: int = ROWS, keep: float = KEEP) -> DataFrame:
