@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import draw, words
+from sparkloom.llm.common import cut, draw, words
 
 ADDED = ("size", "source_size", "target", "copies")
+#: Sources up to this number are broadcast: some forty bytes each, and their names.
+FEW = 100_000
 
 
 def source_targets(docs: DataFrame, size: Column, weights: Sequence[int], cap: int) -> DataFrame:
@@ -48,10 +50,18 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3,
     not taken; rows that agree in doc_id (and, without one, in text) share their draw; an empty table
     gives an empty result; columns of the input named like an added one are replaced.
     """
+    return _planned(_sized(docs, size, seed), weights, cap)
+
+
+def _sized(docs: DataFrame, size: Column | None, seed: int) -> DataFrame:
     size = words(F.col("text")) if size is None else size
-    # The draw comes before the join, so that a text is shuffled only where it is asked for.
-    docs = docs.drop(*ADDED).select("*", size.alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("_draw"))
-    per = source_targets(docs, F.col("size"), weights, cap).withColumnRenamed("source", "_source")
+    return docs.drop(*ADDED).select("*", size.alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("_draw"))
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
+    per = cut(source_targets(docs, F.col("size"), weights, cap).withColumnRenamed("source", "_source"))
+    if per.count() <= FEW:  # else texts are shuffled by source
+        per = F.broadcast(per)
     joined = docs.join(per, docs["source"].eqNullSafe(per["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     extra = F.col("_draw") < rate - F.floor(rate)
@@ -65,9 +75,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return planned.select("*", copies).drop("_copy", *ADDED)
 
 
-def mix_report(docs: DataFrame, **options) -> DataFrame:
+def mix_report(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, size: Column | None = None, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target and taken, size times copies, of every row of plan_mix; texts are read once."""
+    sized = cut(_sized(docs.select("doc_id", "source", "text"), size, seed).select("doc_id", "source", "size", "_draw"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
-    return plan_mix(docs, **options).select("doc_id", "size", "source_size", "target", taken)
+    return _planned(sized, weights, cap).select("doc_id", "size", "source_size", "target", taken)
 
 
 #: The same in SQL.
