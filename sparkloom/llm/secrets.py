@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sparkloom.llm.common import cut, join_counted
+
 Span = tuple[int, int]
 
 
@@ -133,10 +135,12 @@ def findings(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataF
     found = found.withColumn("place", place).filter("place > 0").dropDuplicates(["blob", "place"])
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), s["end"].alias("end"), F.col("kind").alias("kind")))
     found = found.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.flatten(F.collect_list(each))).alias("secrets"))
-    docs = docs.drop("secrets")
-    joined = docs.withColumn("_blob", blob_of(F.col("text"))).join(found, "_blob", "left")
+    docs = docs.drop("secrets").withColumn("_blob", blob_of(F.col("text")))
+    copies = docs.groupBy("_blob").agg(F.count("*").alias("_copies"))
+    found = cut(found.join(copies, "_blob"))
+    joined = join_counted(docs, found, "_blob", "_copies", docs.count(), "left")
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    return joined.select(*docs.columns, F.coalesce("secrets", none).alias("secrets"))
+    return joined.select(*docs.drop("_blob").columns, F.coalesce("secrets", none).alias("secrets"))
 
 
 def scan_secrets(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut
+from sparkloom.llm.common import cut, join_counted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -65,21 +65,27 @@ def viterbi(token: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def segment_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """host, words: each host's names split into words, in order. Names are looked up by a join, not a broadcast."""
-    hosts = hosts.select("host").distinct()
-    names = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}\p{N}]+")).alias("at", "name")).filter("name != ''")
+    """host, words: each host's names split into words, in order. Names are looked up by a join, not a broadcast.
+
+    hosts has distinct hosts. Letters that are in nearly all names, and names that are in nearly all hosts, are dealt to several tasks.
+    """
+    names = cut(hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}\p{N}]+")).alias("at", "name")).filter("name != ''"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
     parts = F.expr(f"flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST}, length(name) - i + 1)), l -> substring(name, i, l))))")
-    pieces = names.select("name").distinct().select("name", F.explode(F.array_distinct(parts)).alias("word"))
-    known = pieces.join(counts, "word", "left").groupBy("name").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
+    times = names.groupBy("name").agg(F.count("*").alias("times"))
+    pieces = times.select("name", F.explode(F.array_distinct(parts)).alias("word"))
+    wanted = cut(pieces.groupBy("word").agg(F.count("*").alias("names")).join(counts, "word"))
+    looked_up = wanted.agg(F.coalesce(F.sum("names"), F.lit(0))).first()[0]
+    known = join_counted(pieces, wanted, "word", "names", looked_up).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def split(name: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([viterbi(a, {k["word"]: int(k["n"]) for k in b}, total) for a, b in zip(name, known, strict=True)], dtype=object)
 
-    split_names = known.select("name", split("name", "known").alias("parts"))
+    none = F.array().cast("array<struct<word:string,n:long>>")
+    split_names = times.join(known, "name", "left").select("name", "times", split("name", F.coalesce("known", none)).alias("parts"))
     ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "parts"))), lambda x: x["parts"]))
-    return names.join(split_names, "name").groupBy("host").agg(ordered.alias("words"))
+    return join_counted(names, cut(split_names), "name", "times", names.count()).groupBy("host").agg(ordered.alias("words"))
 
 
 def features(words: Column, path: Column) -> Column:
@@ -112,8 +118,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("
     url = F.col("url").cast("string")
     base = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
     base = base.withColumn("_rule", longest_rule(rules, F.col("host"), F.col("path")))
-    hosts = cut(segment_hosts(base, cut(word_counts(pages))))
-    rows = base.join(hosts, "host", "left").withColumn("buckets", features(F.col("words"), F.col("path")))
+    urls_of = cut(base.groupBy("host").agg(F.count("*").alias("_urls")))
+    split_hosts = cut(segment_hosts(urls_of.select("host"), cut(word_counts(pages))).join(urls_of, "host"))
+    rows = join_counted(base, split_hosts, "host", "_urls", urls_of.agg(F.coalesce(F.sum("_urls"), F.lit(0))).first()[0], "left").withColumn("buckets", features(F.col("words"), F.col("path")))
     labelled = rows.filter(F.col("_rule").isNotNull()).select((F.col("_rule.verdict") == "block").alias("block"), "buckets")
     weights = pages.sparkSession.sparkContext.broadcast(fit_weights(labelled))
 
