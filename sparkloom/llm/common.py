@@ -34,29 +34,29 @@ def checkpoint_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write df as a table in the shared checkpoint folder and go on from there.
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and go on from there: for what is read several times by parts."""
+    Unlike a checkpoint it is planned by its own size: a checkpoint keeps the estimate of the plan before it, and estimates of joins
+    multiply, in a loop without end.
+    """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_counted(rows: DataFrame, per: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of rows and per, which has one row a key and, in count, at least the rows that have it.
+def join_counted(rows: DataFrame, per: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows and per, which has one row a key and, in count, at least the rows that have it.
 
-    total is at least the sum of count, so fewer than HOT keys have over 1 / HOT of it. These are broadcast and their rows
-    stay where they are; the others are shuffled. rows is read twice: it should be a table or come from an exchange.
+    total is at least the sum of count, so fewer than HOT keys have over 1 / HOT of it. Their rows are dealt in parts of about
+    that size, each with a copy of the key's row; only the frequent keys themselves are broadcast. A null key has no match.
     """
-    frequent = F.col(count) > F.lit(total / HOT)
-    hot = F.broadcast(per.filter(frequent))
-    rest = rows.join(hot, key, "left_anti").join(per.filter(~frequent), key)
-    return rows.join(hot, key).unionByName(rest)
+    parts = F.ceil(F.col(count) * HOT / max(1, total)).cast("long")
+    hot = F.broadcast(per.filter(F.col(count) > F.lit(total / HOT)).select(key, parts.alias("_parts")))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")), F.lit(0))).drop("_parts")
+    last = F.when(F.col(count) > F.lit(total / HOT), parts - 1).otherwise(F.lit(0))
+    copies = per.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
 
 
 def words(text: Column) -> Column:
@@ -75,3 +75,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     checkpoint_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, table_: DataFrame | str) -> None:
+    """Delete a table (its path, or what cut gave) that nothing reads any more, wherever it is stored."""
+    path = table_ if isinstance(table_, str) else table_.inputFiles()[0].rsplit("/", 1)[0]
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

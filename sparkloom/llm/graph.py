@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, join_counted
+from sparkloom.llm.common import cut, join_counted, remove
 
 
 def connect(links: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def connect(links: DataFrame) -> DataFrame:
     changes. Each round is a few joins of the links with themselves, and is cut; rows of a node with very many links
     are not gathered in one task.
     """
+    spark = links.sparkSession
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     before = edges.agg(mark).first()[0]
@@ -26,7 +27,8 @@ def connect(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # large has at most one row for each edge.
         stars = join_counted(large, least, "u", "n", before["n"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
+        remove(spark, last)
         now = edges.agg(mark).first()[0]
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -6,8 +6,9 @@ fingerprints to find texts of a high Jaccard similarity of their shingle sets, a
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,24 +17,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, join_counted, written
+from sparkloom.llm.common import cut, join_counted
 from sparkloom.llm.graph import connect
 from sparkloom.llm.shingle import shingles
-from sparkloom.llm.similar import BOTTOM, TOP, set_key, similar_roots
+from sparkloom.llm.similar import BOTTOM, KEY, TOP, confirmed, set_key, shingle_set
 
-#: Bits of the segments of each 64-bit word, and whether their balls have radius 1 (or 0).
+#: Bits of the segments of 64-bit fingerprints and the radii of their balls; those for more than MANY fingerprints, which make
+#: several times as many probes and leave buckets small. Neither misses a pair of 4 differing bits.
 SEGMENTS, RADII = (22, 21, 21), (1, 1, 0)
+MANY, MANY_SEGMENTS, MANY_RADII = 1 << 30, (32, 32), (2, 1)
 #: Buckets up to this size are compared in one sweep of all rows.
 SMALL = 8
-#: Share of the bits in which two texts of the least similarity differ on average, and the share that is searched: mean and
-#: over four deviations of 256 bits.
-FAR, REACH = math.acos(2 * TOP / (BOTTOM + TOP)) / math.pi, 0.25
+#: Share of the bits in which two texts of the least similarity differ on average; deviations above it that are searched.
+FAR, DEVIATIONS = math.acos(2 * TOP / (BOTTOM + TOP)) / math.pi, 3
 #: Pairs of the least similarity that meet in no segment at most, as computed.
-MISS = 0.01
+MISS = 0.002
 #: Fingerprints that one task compares, on average; a segment's value is frequent if it has over 1 / FREQUENT of all.
-GATHERED, FREQUENT = 1 << 15, 4096
+GATHERED, FREQUENT = 1 << 16, 4096
+#: Texts of a component, at most, that all others of it are compared with first.
+CENTRES = 8
 #: Fingerprints that may share a segment's value, however few there are.
 RARE = 64
+#: Up to so many of equal values all pairs are compared, so many places at a time.
+SWEPT, STEP = 64, 1 << 18
 
 
 def sign_bits(hashes: np.ndarray, words: int = 1) -> bytes:
@@ -72,22 +78,19 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
 def _probe(prints: np.ndarray, segments: Sequence[int], radii: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets (segment and value) and the rows that go there.
 
-    A row goes to its own value of each segment, and for radius 1 to those with one of its set bits cleared: of
-    two values that differ in one bit, one is so reached from the other, and the pair meets once.
+    A row goes to its own value of each segment and to those with up to radius of its set bits cleared: two values that differ
+    in that many bits at most both reach the value of the bits that they have in common.
     """
-    rows, number = np.arange(len(prints)), 0
-    for word in prints.T:
-        shift = 64
-        for bits, radius in zip(segments, radii, strict=True):
-            shift -= bits
-            value = (word >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-            base = np.uint64(number << 32)
-            yield base | value, rows
-            for b in range(bits if radius else 0):
-                flag = np.uint64(1 << b)
-                some = np.flatnonzero(value & flag)
+    rows, shift = np.arange(len(prints)), 64
+    for number, (bits, radius) in enumerate(zip(segments, radii, strict=True)):
+        shift -= bits
+        value = (prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        base = np.uint64(number << 32)
+        for cleared in range(radius + 1):
+            for places in itertools.combinations(range(bits), cleared):
+                flag = np.uint64(sum(1 << b for b in places))
+                some = rows if not cleared else np.flatnonzero((value & flag) == flag)
                 yield base | (value[some] ^ flag), some
-            number += 1
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,49 +127,46 @@ def _links_of(prints: np.ndarray, bucket: np.ndarray, most: int) -> tuple[np.nda
     return np.concatenate([none, *left]).astype(np.int64), np.concatenate([none, *right]).astype(np.int64)
 
 
-def near_links(prints: DataFrame, most: int, words: int = 1, segments: Sequence[int] = SEGMENTS, radii: Sequence[int] = RADII) -> DataFrame:
-    """a, b: links between distinct fingerprints of at most `most` differing bits, enough to join all that are near.
+def near_links(prints: DataFrame, most: int, segments: Sequence[int] = SEGMENTS, radii: Sequence[int] = RADII) -> DataFrame:
+    """a, b: links between distinct 64-bit fingerprints of at most `most` differing bits, enough to join all that are near.
 
-    Each 64-bit word is cut into segments; two fingerprints meet in a bucket if a segment's values are within its radius, and
+    Fingerprints are cut into segments; two meet in a bucket if a segment's values are within its radius, and
     are then compared in full. Where sum(radius + 1) over all segments exceeds `most` no pair can be missed.
     """
-    size = 8 * words
-    kind = "bucket long, print binary"
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words)
+    def numbers(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = pa.binary(size)
         for batch in batches:
-            column = batch.column(0).cast(fixed)
-            for bucket, rows in _probe(matrix(column), segments, radii):
+            own = numbers(batch.column(0))
+            for bucket, rows in _probe(own, segments, radii):
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), column.take(pa.array(rows)).cast(pa.binary())], names=["bucket", "print"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(own[rows].astype(np.int64))], names=["bucket", "print"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            a, b = _links_of(prints, bucket, most)
-            data = prints.astype(">u8")
+        def flush(bucket: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            a, b = _links_of(own.reshape(-1, 1), bucket, most)
+            data = own.astype(">u8").reshape(-1, 1)
             return pa.RecordBatch.from_arrays([pa.array([data[i].tobytes() for i in side], pa.binary()) for side in (a, b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, prints = batch.column(0).to_numpy(), matrix(batch.column(1))
+            bucket, own = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
             # The last bucket may go on in the next batch.
             whole = int(np.searchsorted(bucket, bucket[-1]))
             if whole or (held and held[0][0][0] != bucket[0]):
-                parts = [*held, (bucket[:whole], prints[:whole])]
+                parts = [*held, (bucket[:whole], own[:whole])]
                 yield flush(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
                 held = []
-            held.append((bucket[whole:], prints[whole:]))
+            held.append((bucket[whole:], own[whole:]))
         if held:
             yield flush(*(np.concatenate([p[i] for p in held]) for i in (0, 1)))
 
-    probes = prints.select("fingerprint").mapInArrow(probe, kind)
+    probes = prints.select("fingerprint").mapInArrow(probe, "bucket long, print long")
     met = probes.repartition("bucket").sortWithinPartitions("bucket", "print")
     return met.mapInArrow(verify, "a binary, b binary")
 
@@ -180,8 +180,11 @@ def near_components(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame
     stay; an empty table gives an empty result; other columns of docs are left out.
     """
     rows = cut(with_fingerprints(docs.select("doc_id", "text"), width).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "fingerprint"))
-    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    roots = connect(near_links(nodes.select("fingerprint"), most))
+    nodes = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    segments, radii = (SEGMENTS, RADII) if nodes.count() <= MANY else (MANY_SEGMENTS, MANY_RADII)
+    if sum(r + 1 for r in radii) <= most:
+        raise ValueError(f"fingerprints are searched for up to {sum(r + 1 for r in radii) - 1} differing bits")
+    roots = connect(near_links(nodes.select("fingerprint"), most, segments, radii))
     placed = cut(nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
     total = placed.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
@@ -203,19 +206,19 @@ class Layout:
     def of(cls, count: int) -> Layout:
         """For so many fingerprints.
 
-        A segment has as many values as there are fingerprints, so that chance meetings stay few; there are so many segments
+        A segment has half as many values as there are fingerprints, so that chance meetings stay few; there are so many segments
         that a pair of the least similarity has one of at most two differing bits with a chance of 1 - MISS. Where they have
         more bits than a fingerprint they overlap.
         """
-        bits = min(30, max(12, math.ceil(math.log2(count + 1))))
+        bits = min(30, max(12, math.ceil(math.log2(count + 1)) - 1))
         meet = sum(math.comb(bits, k) * FAR**k * (1 - FAR) ** (bits - k) for k in range(3))
         segments = math.ceil(math.log(MISS) / math.log(1 - meet))
-        return cls(4 if bits * segments <= 512 else 8, bits, segments, min(bits - 4, max(0, math.ceil(math.log2((count + 1) / GATHERED)))))
+        return cls(4 if bits * segments <= 512 else 8, bits, segments, min(bits - 4, max(2, math.ceil(math.log2((count + 1) / GATHERED)))))
 
     @property
     def most(self) -> int:
         """Differing bits of a link."""
-        return int(64 * self.words * REACH)
+        return round(64 * self.words * FAR + DEVIATIONS * math.sqrt(64 * self.words * FAR * (1 - FAR)))
 
     @property
     def close(self) -> int:
@@ -238,23 +241,50 @@ def _matrix(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _pairs_of(value: np.ndarray, prints: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with equal values and few differing bits (the sum of their reach), enough to join all such pairs."""
+def _within(prints: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    """Which of the pairs of rows differ in at most `most` bits; half of the words decide most pairs."""
+    half = prints.shape[1] // 2
+    apart = sum(np.bitwise_count(prints[a, k] ^ prints[b, k]).astype(np.int16) for k in range(half))
+    near = apart <= most
+    some = np.flatnonzero(near)
+    apart = apart[some] + sum(np.bitwise_count(prints[a[some], k] ^ prints[b[some], k]).astype(np.int16) for k in range(half, prints.shape[1]))
+    near[some] = apart <= (most if np.isscalar(most) else most[some])
+    return near
+
+
+def _meetings(value: np.ndarray) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Pairs of places of equal values, by and by, where up to SWEPT share a value; and the places of each value of more."""
     order = np.argsort(value, kind="stable")
     ranked = value[order]
     edges = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
     sizes = np.diff(edges)
+    small = np.repeat(sizes <= SWEPT, sizes)
+
+    def swept() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for d in range(1, min(SWEPT, int(sizes.max(initial=1)))):
+            for at in range(0, len(order) - d, STEP):
+                end = min(at + STEP, len(order) - d)
+                i = at + np.flatnonzero((ranked[at:end] == ranked[at + d : end + d]) & small[at:end])
+                if len(i):
+                    yield order[i], order[i + d]
+
+    return swept(), [order[edges[g] : edges[g + 1]] for g in np.flatnonzero(sizes > SWEPT)]
+
+
+def _pairs_of(value: np.ndarray, number: np.ndarray, prints: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with equal values and few differing bits (the sum of their reach), enough to join all such pairs.
+
+    number is the row of each value.
+    """
     left, right = [], []
-    for d in range(1, min(64, int(sizes.max(initial=1)))):
-        i = np.flatnonzero(ranked[d:] == ranked[:-d])
-        i = i[(sizes <= 64)[np.searchsorted(edges, i, "right") - 1]]
-        for at in range(0, len(i), 1 << 18):
-            a, b = order[i[at : at + (1 << 18)]], order[i[at : at + (1 << 18)] + d]
-            near = _near(prints[a], prints[b]) <= reach[a] + reach[b]
-            left.append(a[near])
-            right.append(b[near])
-    for g in np.flatnonzero(sizes > 64):
-        rest = order[edges[g] : edges[g + 1]]
+    swept, large = _meetings(value)
+    for a, b in swept:
+        a, b = number[a], number[b]
+        near = _within(prints, a, b, reach[a] + reach[b])
+        left.append(a[near])
+        right.append(b[near])
+    for places in large:
+        rest = np.unique(number[places])
         while len(rest):
             root, rest = rest[0], rest[1:]
             frontier = [root]
@@ -269,74 +299,149 @@ def _pairs_of(value: np.ndarray, prints: np.ndarray, reach: np.ndarray) -> tuple
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def wide_links(prints: DataFrame, layout: Layout) -> DataFrame:
-    """a, b: links between node numbers of wide fingerprints, enough to join all that are near and meet in a segment.
+def _apart(value: np.ndarray, number: np.ndarray, prints: np.ndarray, labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with equal values, different labels and at most `most` differing bits; number is the row of each value."""
+    left, right = [], []
+    swept, large = _meetings(value)
+    for a, b in swept:
+        a, b = number[a], number[b]
+        some = labels[a] != labels[b]
+        a, b = a[some], b[some]
+        near = _within(prints, a, b, most)
+        left.append(a[near])
+        right.append(b[near])
+    for places in large:
+        own = np.unique(number[places])
+        names, kind, times = np.unique(labels[own], return_inverse=True, return_counts=True)
+        few = kind != times.argmax()  # of two in different labels one at least isn't in the most frequent
+        for at in np.flatnonzero(few):
+            others = own[(kind != kind[at]) & (~few | (np.arange(len(own)) > at))]
+            others = others[_near(prints[others], prints[own[at]]) <= most]
+            left.append(np.full(len(others), own[at]))
+            right.append(others)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
-    prints has distinct node (long) and print (binary). A fingerprint is sent to the groups named by the top bits of its segments'
-    values and of those with one of these bits flipped; in a group the rest of the ball is enumerated, so that all values of
-    at most two differing bits meet. What meets is compared in full. Where very many have the same value, those near the
-    smallest of them are linked to it and it stands for them with a wider reach: this loses no link, but may make more.
-    """
-    words, bits, top = layout.words, layout.bits, layout.top
-    low = bits - top
 
-    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for k, value in enumerate(layout.values(_matrix(batch.column(1), words))):
-                    spot = pa.array((value | np.uint64(k << 32)).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([spot, batch.column(0), batch.column(1)], names=["spot", "node", "print"])
+def _groups(rows: DataFrame, layout: Layout) -> DataFrame:
+    """rows, which have spot and print, once for each group that they go to; group: segment and top bits."""
+    named = F.shiftright(F.col("spot").bitwiseAND((1 << 32) - 1), layout.bits - layout.top)
+    groups = F.array(named, *(named.bitwiseXOR(F.lit(1 << b)) for b in range(layout.top)))
+    group = (F.shiftright("spot", 32) * (1 << layout.top) + F.col("_name")).alias("group")
+    return rows.withColumn("_name", F.explode(groups)).select(group, *rows.drop("spot").columns)
 
-    each = prints.select("node", "print").mapInArrow(spots, "spot long, node long, print binary")
-    total = prints.count()
-    often = each.groupBy("spot").agg(F.count("*").alias("n"), F.min(F.struct("print", "node")).alias("one"))
-    # Fewer than FREQUENT in each segment.
-    often = F.broadcast(cut(often.filter(F.col("n") > max(RARE, total / FREQUENT)).select("spot", F.col("one.print").alias("rep"), F.col("one.node").alias("rep_node"))))
-    marked = each.join(often, "spot", "left")
-    distance = bits_between(F.col("print"), F.col("rep"), words)
-    absorbed = (F.col("node") != F.col("rep_node")) & (distance <= layout.close)
-    some = marked.filter("rep is not null").filter(absorbed).select(F.col("node").alias("a"), F.col("rep_node").alias("b"))
-    rest = marked.filter(~F.coalesce(absorbed, F.lit(False))).select("spot", "node", "print", F.coalesce(F.col("node") == F.col("rep_node"), F.lit(False)).alias("wide"))
-    value, segment = F.col("spot").bitwiseAND((1 << 32) - 1), F.shiftright("spot", 32)
-    named = F.shiftright(value, low)
-    groups = F.array(named, *(named.bitwiseXOR(F.lit(1 << b)) for b in range(top)))
-    sent = rest.select(F.explode(groups).alias("name"), segment.alias("segment"), "node", "print", "wide")
-    sent = sent.select((F.col("segment") * (1 << top) + F.col("name")).alias("group"), "node", "print", "wide")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def links(group: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            prints = _matrix(rows["print"], words)
-            segment, name = divmod(group, 1 << top)
-            value = next(v for k, v in enumerate(layout.values(prints)) if k == segment)
-            own = np.flatnonzero(value >> np.uint64(low) == name)
-            value &= np.uint64((1 << low) - 1)
-            # Two reach `most` together; one that stands for others reaches as much further as these may be from it.
-            reach = layout.most / 2 + np.where(rows["wide"].to_numpy(), layout.close, 0)
-            flipped = [value[own] ^ np.uint64(1 << b) for b in range(low)]
-            number = np.concatenate([np.arange(len(prints)), *[own] * low])
-            a, b = _pairs_of(np.concatenate([value, *flipped]), prints[number], reach[number])
-            a, b = number[a], number[b]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-            nodes = rows["node"].to_numpy()
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[pair[:, 0]]), pa.array(nodes[pair[:, 1]])], names=["a", "b"])
+def _in_groups(rows: DataFrame, of: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """of (group, its rows) for each group of rows."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             at, groups = 0, batch.column(0).to_numpy()
             while at < len(groups):
                 end = int(np.searchsorted(groups, groups[at], "right"))
                 if held and held[0].column(0)[0].as_py() != groups[at]:
-                    yield from links(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+                    yield from of(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(at, end - at))
                 at = end
         if held:
-            yield from links(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+            yield from of(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(each, schema)
 
-    met = sent.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long")
-    return some.unionByName(met)
+
+def _spots(prints: DataFrame, layout: Layout, more: str) -> DataFrame:
+    """print and one more column (long, or binary) of prints with spot, segment and value, for each segment."""
+    kind = dict(prints.dtypes)[more].replace("bigint", "long")
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for k, value in enumerate(layout.values(_matrix(batch.column(0), layout.words))):
+                    spot = pa.array((value | np.uint64(k << 32)).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([spot, batch.column(0), batch.column(1)], names=["spot", "print", more])
+
+    return prints.select("print", more).mapInArrow(spots, f"spot long, print binary, {more} {kind}")
+
+
+def wide_links(prints: DataFrame, layout: Layout) -> DataFrame:
+    """a, b: links between node numbers of wide fingerprints, enough to join all that are near and meet in a segment.
+
+    prints has distinct node (long) and print (binary). A fingerprint is sent to the groups named by the top bits of its segments'
+    values and of those with one of these bits flipped; in a group the rest of the ball is enumerated, so that all values of
+    at most two differing bits meet. What meets is compared in full. Where very many have the same value, those near the
+    smallest of them are linked to it and it stands for them with a wider reach: this loses no link, but may make more.
+    """
+    words, low = layout.words, layout.bits - layout.top
+    each = _spots(prints, layout, "node")
+    often = each.groupBy("spot").agg(F.count("*").alias("n"), F.min(F.struct("print", "node")).alias("one"))
+    # Fewer than FREQUENT in each segment.
+    often = F.broadcast(cut(often.filter(F.col("n") > max(RARE, prints.count() / FREQUENT)).select("spot", F.col("one.print").alias("rep"), F.col("one.node").alias("rep_node"))))
+    marked = each.join(often, "spot", "left")
+    absorbed = (F.col("node") != F.col("rep_node")) & (bits_between(F.col("print"), F.col("rep"), words) <= layout.close)
+    some = marked.filter("rep is not null").filter(absorbed).select(F.col("node").alias("a"), F.col("rep_node").alias("b"))
+    rest = marked.filter(~F.coalesce(absorbed, F.lit(False))).select("spot", "print", "node", F.coalesce(F.col("node") == F.col("rep_node"), F.lit(False)).alias("wide"))
+
+    def links(group: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        prints = _matrix(rows["print"], words)
+        number, value = _ball(layout, group, prints)
+        # Two reach `most` together; one that stands for others reaches as much further as these may be from it.
+        reach = layout.most / 2 + np.where(rows["wide"].to_numpy(), layout.close, 0)
+        a, b = _pairs_of(value, number, prints, reach)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        nodes = rows["node"].to_numpy()
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[pair[:, 0]]), pa.array(nodes[pair[:, 1]])], names=["a", "b"])
+
+    return some.unionByName(_in_groups(_groups(rest, layout), links, "a long, b long"))
+
+
+def _ball(layout: Layout, group: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values for a group: the lower bits of each row's value, and of the group's own rows those with one bit flipped."""
+    low = layout.bits - layout.top
+    segment, name = divmod(group, 1 << layout.top)
+    value = next(v for k, v in enumerate(layout.values(prints)) if k == segment)
+    own = np.flatnonzero(value >> np.uint64(low) == name)
+    value &= np.uint64((1 << low) - 1)
+    flipped = [value[own] ^ np.uint64(1 << b) for b in range(low)]
+    return np.concatenate([np.arange(len(prints)), *[own] * low]).astype(np.int32), np.concatenate([value, *flipped]).astype(np.uint32)
+
+
+def wide_pairs(sets: DataFrame, layout: Layout) -> DataFrame:
+    """a, b: all pairs of keys that meet as in wide_links and are near, but have different roots; each pair once.
+
+    sets has key and root (binary of KEY bytes) and print.
+    """
+    words, low = layout.words, layout.bits - layout.top
+
+    def pairs(group: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        prints = _matrix(rows["print"], words)
+        both = np.frombuffer(b"".join(rows["both"].to_pylist()), dtype=f"V{KEY}").reshape(-1, 2)
+        labels = np.unique(both[:, 1].copy().view(">u8").reshape(-1, KEY // 8), axis=0, return_inverse=True)[1]
+        number, value = _ball(layout, group, prints)
+        a, b = _apart(value, number, prints, labels, layout.most)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        # A pair is told in the first segment that it meets in, and there in one group of the two that may hold both.
+        segment, name = divmod(group, 1 << layout.top)
+        first = np.ones(len(pair), dtype=bool)
+        for k, value in enumerate(layout.values(prints)):
+            x, y = value[pair[:, 0]], value[pair[:, 1]]
+            if k < segment:
+                first &= np.bitwise_count(x ^ y) > 2
+            if k == segment:
+                x, y = x >> np.uint64(low), y >> np.uint64(low)
+                flips = x ^ y
+                lowest = flips & (~flips + np.uint64(1))
+                # Of two that differ in one top bit both groups hold both; of those that differ in two the two between them do.
+                first &= np.where(np.bitwise_count(flips) == 2, np.minimum(x ^ lowest, y ^ lowest), np.minimum(x, y)) == name
+        pair = pair[first]
+        if len(pair):
+            keys = np.array([k.tobytes() for k in both[:, 0]], dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[pair[:, 0]], pa.binary()), pa.array(keys[pair[:, 1]], pa.binary())], names=["a", "b"])
+
+    rows = _spots(sets.select("print", F.concat("key", "root").alias("both")), layout, "both")
+    return _in_groups(_groups(rows, layout), pairs, "a binary, b binary")
 
 
 def bits_between(a: Column, b: Column, words: int) -> Column:
@@ -353,7 +458,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 
     Similar is a Jaccard similarity of TOP / BOTTOM or more. Fingerprints of the sets find what may be similar (see Layout for the
     chance that a pair at the bound is missed); within each component of near fingerprints similarity is then computed from
-    the whole sets, and what isn't similar is parted again. The row of the smallest doc_id (nulls last), then row hash, stays. All
+    the whole sets, for all pairs that are near and not yet joined, and what isn't similar is parted again. The row of the smallest doc_id (nulls last), then row hash, stays. All
     texts without words are alike, so one of them stays; a null text is an empty one; of repeated rows one stays; an empty table
     gives an empty result; columns of the input that are named like working ones are kept as they are.
     """
@@ -362,7 +467,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     @F.pandas_udf("binary")
     def key_and_print(texts: pd.Series) -> pd.Series:
         def one(text: str) -> bytes:
-            every = np.unique(shingles(text, width))
+            every = shingle_set(text, width)
             return set_key(every) + sign_bits(every, layout.words)
 
         return pd.Series([one(t) for t in texts], dtype=object)
@@ -371,19 +476,29 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     # The key of a row, never null: a digest of its id and text.
     row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), text)))
     both = docs.select("doc_id", row.alias("row"), key_and_print(text).alias("both"))
-    rows = cut(both.select("doc_id", "row", F.substring("both", 1, 16).alias("key"), F.substring("both", 17, 8 * layout.words).alias("print")))
+    rows = cut(both.select("doc_id", "row", F.substring("both", 1, KEY).alias("key"), F.substring("both", KEY + 1, 8 * layout.words).alias("print")))
     # A row for each distinct set; equal sets have equal fingerprints.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.min("print").alias("print")).withColumn("node", F.xxhash64("print")))
     links = wide_links(sets.groupBy("node").agg(F.min("print").alias("print")), layout)
     roots = connect(links)
-    placed = cut(sets.drop("print").join(roots, "node", "left").withColumn("scope", F.coalesce("root", "node")).drop("root", "node"))
-    several = placed.groupBy("scope").agg(F.count("*").alias("n")).filter("n > 1")
-    several = cut(several)
+    placed = cut(sets.join(roots, "node", "left").withColumn("scope", F.coalesce("root", "node")).drop("root", "node"))
+    several = cut(placed.groupBy("scope").agg(F.count("*").alias("n")).filter("n > 1"))
     members = placed.agg(F.count("*")).first()[0]
-    linked = join_counted(placed, several, "scope", "n", members).select("key", "scope", F.col("first.row").alias("row"))
-    texts = docs.select(row.alias("row"), text.alias("text")).join(linked, "row").dropDuplicates(["row"]).select("key", "scope", "text")
-    same = similar_roots(written(texts, "sets"), width)
+    linked = cut(join_counted(placed, several, "scope", "n", members).select("key", "scope", "print", F.col("first.row").alias("row")))
+    texts = docs.select(row.alias("row"), text.alias("text")).join(linked.select("row", "key"), "row").dropDuplicates(["row"]).select("key", "text")
+    texts = cut(texts, "sets")
+    # Each is compared with a few of its component, and then all that are near and not yet joined by that.
+    slot = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).alias("slot")
+    slots = linked.groupBy("scope", slot).agg(F.min(F.struct("key", "print")).alias("centre"), F.count("*").alias("n"))
+    centres = cut(slots.groupBy("scope").agg(F.collect_list("centre").alias("centres"), F.sum("n").alias("n")))
+    stars = join_counted(linked, centres, "scope", "n", linked.count()).select("key", "print", F.explode("centres").alias("centre")).filter(F.col("key") != F.col("centre.key"))
+    stars = stars.filter(bits_between(F.col("print"), F.col("centre.print"), layout.words) <= layout.most)
+    stars = stars.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
+    links = confirmed(stars, texts, width)
+    apart = linked.join(connect(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    more = confirmed(wide_pairs(apart, layout), texts, width)
+    same = connect(links.select("a", "b").unionByName(more)).withColumnRenamed("node", "key")
     found = placed.join(same, "key", "left").withColumn("root", F.coalesce("root", "key"))
     stay = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
     return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -3,26 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, join_counted
-from sparkloom.llm.graph import connect
 from sparkloom.llm.shingle import shingles
 
 #: The least similarity, as a fraction.
 TOP, BOTTOM = 4, 5
-#: Cells of the table of shingle counts, and the parts in which it is summed.
-CELLS, PARTS = 1 << 20, 64
+#: Bytes of a set's key.
+KEY = 16
 #: Pairs of one set that a task compares, on average.
 PAIRS = 1024
-TOKENS = "token long, key binary, n int"
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -31,7 +27,7 @@ def shingle_set(text: str, width: int) -> np.ndarray:
 
 
 def set_key(shingle: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingle.tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(shingle.tobytes(), digest_size=KEY).digest()
 
 
 def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -42,40 +38,6 @@ def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
     return BOTTOM * common >= TOP * (len(a) + len(b) - common)
 
 
-def shingle_counts(nodes: DataFrame, width: int) -> np.ndarray:
-    """How often shingles fall in each of CELLS cells, as powers of two: a measure of how common a shingle is."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, width) for t in batch.column(0).slice(at, 256).to_pylist()]
-                total += np.bincount((np.concatenate(sets) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        if total.any():
-            parts = [p.tobytes() for p in total.reshape(PARTS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in pdf["counts"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "levels": [np.log2(total + 1).astype(np.uint8).tobytes()]})
-
-    parts = nodes.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, levels binary")
-    levels = np.zeros((PARTS, CELLS // PARTS), dtype=np.uint8)
-    for r in parts.collect():
-        levels[r["part"]] = np.frombuffer(r["levels"], dtype=np.uint8)
-    return levels.reshape(-1)
-
-
-def prefix(shingle: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The least common shingles of a set, so many that any two similar sets have one of them in common.
-
-    All sets are ordered alike, by level and then by hash. Of n shingles a similar set has n * TOP / BOTTOM at least, so
-    that one of these is among the first n - ceil(n * TOP / BOTTOM) + 1 of both.
-    """
-    order = np.lexsort((shingle, levels[(shingle % np.uint64(CELLS)).astype(np.int64)]))
-    return shingle[order[: len(shingle) + TOP * len(shingle) // -BOTTOM + 1]] if len(shingle) else shingle
-
-
 def with_texts(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """pairs (a table) with text_a and text_b. The pairs of an a are dealt in parts of about PAIRS, each with a copy of its text."""
     of_a, of_b = (nodes.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
@@ -86,62 +48,12 @@ def with_texts(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The pairs whose shingle sets are similar."""
+    """The pairs (a, b: distinct keys of nodes, which has key and text) whose shingle sets are similar."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         of = lru_cache(maxsize=64)(lambda t: shingle_set(t, width))
         return pd.Series([are_similar(of(x), shingle_set(y, width)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs)
     return cut(with_texts(pairs, nodes, pairs.count()).filter(similar("text_a", "text_b")).select("a", "b"))
-
-
-def similar_roots(nodes: DataFrame, width: int) -> DataFrame:
-    """key, root: the smallest key of each component of similar sets, for those that aren't their own.
-
-    nodes is a table of distinct key, scope (long) and text; only sets of one scope are compared. Sets that share a shingle of both prefixes are compared in two rounds: each with the smallest of about its size there, and
-    then all those pairs that these links have not yet brought into one component. What is left out is joined already.
-    """
-    levels = nodes.sparkSession.sparkContext.broadcast(shingle_counts(nodes, width))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                keys = batch.column(0).slice(at, 256)
-                sets = [shingle_set(t, width) for t in batch.column(1).slice(at, 256).to_pylist()]
-                firsts = [prefix(s, levels.value) for s in sets]
-                lengths = [len(f) for f in firsts]
-                rows = np.repeat(np.arange(len(sets)), lengths)
-                n = pa.array(np.repeat([len(s) for s in sets], lengths).astype(np.int32))
-                # A shingle of one scope is another token than that of another.
-                scope = batch.column(2).slice(at, 256).to_numpy().view(np.uint64)[rows] * np.uint64(0x9E3779B97F4A7C15)
-                token = (np.concatenate(firsts) ^ scope).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), keys.take(pa.array(rows)), n], names=["token", "key", "n"])
-
-    every = nodes.select("key", "text", "scope").mapInArrow(tokens, TOKENS)
-    shared = every.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = cut(shared)
-    total = shared.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    # Far fewer rows than all: most shingles are in one set only.
-    met = cut(every.join(shared.select("token"), "token", "left_semi").withColumn("class", F.floor(F.log("n") / F.log(F.lit(BOTTOM / TOP))).cast("int")))
-    near = F.col("n") * BOTTOM >= F.col("n_a") * TOP
-    near &= F.col("n_a") * BOTTOM >= F.col("n") * TOP
-
-    spot = met.withColumn("spot", F.struct("token", "class"))
-    first = spot.groupBy("spot").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    first = cut(first.select("spot", "times", F.col("first.key").alias("a"), F.col("first.n").alias("n_a")))
-    stars = join_counted(spot, first, "spot", "times", total).filter("key != a").filter(near).select("a", F.col("key").alias("b"))
-    links = confirmed(stars, nodes, width)
-    roots = cut(connect(links))
-
-    placed = cut(met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    per = placed.groupBy("token", "root").agg(F.count("*").alias("times"))
-    main = per.groupBy("token").agg(F.max(F.struct("times", "root"))["root"].alias("main"), F.sum("times").alias("times"), F.count("*").alias("roots"))
-    main = cut(main.filter("roots > 1").drop("roots"))
-    both = cut(join_counted(placed, main, "token", "times", total))
-    # Of two in different components one at least isn't in the token's largest.
-    few = both.filter("root != main").select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    apart = both.join(few, "token").filter("root != root_a and (root = main or a < key)").filter(near)
-    more = confirmed(apart.select("a", F.col("key").alias("b")), nodes, width)
-    return connect(links.union(more)).withColumnRenamed("node", "key")

@@ -128,6 +128,27 @@ def test_urls_by_rule(spark):
     assert sum((r["score"] > 0) == (r["verdict"] == "block") for r in ruled) > 0.9 * len(ruled)
 
 
+def test_naive_bayes_on_held_out_urls(spark):
+    """Of URLs that no rule decides, weights learnt on some tell the others' kind by words inside their host names and paths."""
+    random.seed(8)
+    kinds = {"block": ["casino", "poker", "betting", "jackpot", "slots"], "allow": ["garden", "museum", "library", "science", "history"]}
+    common_words = ["the", "best", "my", "online", "city", "world"]
+    rows_, label = [], {}
+    for i in range(600):
+        kind = random.choice(["block", "allow"])
+        name = "".join(random.sample(common_words, 1) + random.sample(kinds[kind], 2))
+        tail = random.choice(kinds[kind] + common_words * 2)
+        ruled = i % 2
+        host = f"{name}.{'ruled' + kind[0] if ruled else 'free'}.net"
+        rows_.append((i, f"http://{host}/{tail}/{i}", " ".join(common_words + kinds["block"] + kinds["allow"]) * 20))
+        label[i] = kind
+    rules = [("ruledb.net", "/", "block"), ("ruleda.net", "/", "allow")]
+    out = urls.judge_urls(spark.createDataFrame(rows_, "page_id long, url string, html string"), rules).collect()
+    free = [r for r in out if r["rule"] is None]
+    right = sum(r["verdict"] == label[r["page_id"]] for r in free)
+    assert len(free) == 300 and right >= 0.95 * len(free), right
+
+
 def test_viterbi_splits_names():
     counts = {"cheap": 50, "pills": 40, "che": 1, "now": 90, "a": 5}
     assert urls.viterbi("cheappillsnow", counts, 200) == ["cheap", "pills", "now"]
@@ -251,8 +272,8 @@ def test_simhash_components(spark, texts):
         assert (r["fingerprint"], r["component_id"]) == (f"{prints[k]:016x}", components[k])
 
 
-@pytest.mark.parametrize("hot", [1024, 8])
-def test_links_lose_nothing(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "segments", "radii"), [(1024, (22, 21, 21), (1, 1, 0)), (8, (32, 32), (2, 1))])
+def test_links_lose_nothing(spark, monkeypatch, hot, segments, radii):
     monkeypatch.setattr(common, "HOT", hot)
     random.seed(5)
     prints = []
@@ -265,7 +286,7 @@ def test_links_lose_nothing(spark, monkeypatch, hot):
             prints.append(x)
     prints = dict.fromkeys(prints)
     df = spark.createDataFrame([(x.to_bytes(8, "big"),) for x in prints], "fingerprint binary")
-    roots = {bytes(r[0]): bytes(r[1]) for r in graph.connect(simhash.near_links(df, 4)).collect()}
+    roots = {bytes(r[0]): bytes(r[1]) for r in graph.connect(simhash.near_links(df, 4, segments, radii)).collect()}
     want = plain_components({x: x for x in prints}, 4)
     assert all(roots.get(x.to_bytes(8, "big"), x.to_bytes(8, "big")) == want[x].to_bytes(8, "big") for x in prints)
 
