@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, chat, divergence, mixing, oracles, quality, resample, secrets, sharding, simhash, suffix, topk, urls
+from sparkloom.llm import bpe, chat, divergence, lm, mixing, oracles, quality, resample, secrets, sharding, simhash, suffix, topk, urls
 from sparkloom.llm.common import shared_folder, table
 
 # The host rules of op3.
@@ -80,12 +80,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"), least=30, top=50)
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.score_texts(table(spark, sf_dir, "documents"), ~lm.held_out(F.col("doc_id")))
+    return scores.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10, bottom=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_chat, op3_urls, op4_shards, op5_bpe, op6_simhash, op7_topk, op8_quality, op9_secrets, op10_suffix, op11_divergence, op13_resample)
+    f.__name__: f for f in (op1_mix, op2_chat, op3_urls, op4_shards, op5_bpe, op6_simhash, op7_topk, op8_quality, op9_secrets, op10_suffix, op11_divergence, op12_lm, op13_resample)
 }
 ORACLES: dict[str, str] = {
     "op1_mix": mixing.MIX_SQL,
