@@ -88,27 +88,28 @@ def tree_corrections(paths: DataFrame) -> DataFrame:
         branch: list[tuple[int, int, int]] = []
         terms: list[int] = []
         lang, found, size = None, [], 0
-        at, p, x = (np.zeros(0, dtype=np.int64) for _ in range(3))
 
         def leave(depth: int) -> None:
-            """Take nodes off the branch down to a depth; each one's terms also run through its parent."""
+            """Take the nodes below a depth off the branch; the terms of each also run through all nodes above it."""
             nonlocal size
-            while len(branch) > depth:
-                k, n = len(branch) - 1, terms.pop()
-                own, q, y = branch.pop()
-                if k:
-                    terms[-1] += n
-                    both = np.abs(p[:k] - q) - np.abs(p[:k] - y) - np.abs(x[:k] - q) + np.abs(x[:k] - y)
-                    found.append((at[:k].copy(), own, n * both))
-                    size += k
+            if len(branch) > depth:
+                at, p, x = np.array(branch, dtype=np.int64).T
+                runs = np.cumsum(terms[:depth:-1] + [terms[depth]])[::-1]
+                if depth:
+                    terms[depth - 1] += int(runs[0])
+                above, node = np.nonzero(np.arange(len(at))[:, None] < np.arange(depth, len(at))[None, :])
+                q, y = p[depth:][node], x[depth:][node]
+                both = np.abs(p[above] - q) - np.abs(p[above] - y) - np.abs(x[above] - q) + np.abs(x[above] - y)
+                found.append((at[above] << 32 | at[depth:][node], runs[node] * both))
+                size += len(node)
+                del branch[depth:], terms[depth:]
 
         def told() -> Iterator[pa.RecordBatch]:
             nonlocal found, size
             if found:
-                a, value = (np.concatenate([f[i] for f in found]) for i in (0, 2))
-                pair, where = np.unique(a << 32 | np.repeat([f[1] for f in found], [len(f[0]) for f in found]), return_inverse=True)
+                pair, where = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
                 total = np.zeros(len(pair), dtype=np.int64)
-                np.add.at(total, where, value)
+                np.add.at(total, where, np.concatenate([f[1] for f in found]))
                 columns = [pa.repeat(pa.scalar(lang, pa.string()), len(pair)), *map(pa.array, (pair >> 32, pair & 0xFFFFFFFF, total))]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "a", "b", "value"])
             found, size = [], 0
@@ -124,14 +125,9 @@ def tree_corrections(paths: DataFrame) -> DataFrame:
                 if own != lang or size >= PAIRS:
                     yield from told()
                     lang = own
-                if len(items) > len(at):
-                    at, p, x = (np.concatenate([c, np.zeros(2 * len(items), dtype=np.int64)]) for c in (at, p, x))
-                for k in range(common, len(items)):
-                    branch.append(items[k])
-                    terms.append(0)
-                    at[k], p[k], x[k] = items[k]
-                if items:
-                    terms[-1] += n
+                branch += items[common:]
+                terms += [0] * (len(items) - common)
+                terms[-1] += n
         leave(0)
         yield from told()
 
