@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -76,6 +77,8 @@ RULES = (
     Rule("prefixed", 1, _plain(PREFIXED)),
 )
 BASE = ("assign", "access", "hex")
+#: Bits, at most, of the filter of blobs that have findings.
+BITS = 1 << 24
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -123,6 +126,37 @@ def extend_ledger(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES)
     unseen.filter(F.size("missing") > 0).select("blob", "text", "missing").mapInArrow(scan, LEDGER).write.mode("append").parquet(path)
 
 
+def may_be_in(blobs: DataFrame, key: str) -> Column:
+    """Whether a row's key (a SHA-256) may be one of blobs': a Bloom filter, so that rows with other keys need no join.
+
+    It has sixteen bits a blob and BITS at most (2 MB, broadcast); beyond a million blobs more rows than need be seem to be there.
+    """
+    bits = min(BITS, max(1 << 10, 1 << (16 * blobs.count()).bit_length()))
+
+    def places(data: np.ndarray) -> np.ndarray:
+        return data.view("<u4").reshape(-1, 8)[:, :4] & np.uint32(bits - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_set = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            is_set[places(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8))] = True
+        words = np.packbits(is_set, bitorder="little").view("<i8")
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["at", "word"])
+
+    words = np.zeros(bits // 64, dtype="<i8")
+    for r in blobs.select(key).mapInArrow(mark, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
+        words[r["at"]] = r["word"]
+    sent = blobs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        at = places(np.frombuffer(b"".join(keys), dtype=np.uint8))
+        return pd.Series(((sent.value[at >> 6] >> (at & 63).astype(np.int64)) & 1).all(axis=1))
+
+    return test(F.col(key))
+
+
 def findings(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs with secrets, an array of (start, place, end, kind) in order, from the ledger's rows for these rules.
 
@@ -135,12 +169,17 @@ def findings(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataF
     found = found.withColumn("place", place).filter("place > 0").dropDuplicates(["blob", "place"])
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), s["end"].alias("end"), F.col("kind").alias("kind")))
     found = found.groupBy(F.col("blob").alias("_blob")).agg(F.sort_array(F.flatten(F.collect_list(each))).alias("secrets"))
+    found = cut(found)
     docs = docs.drop("secrets").withColumn("_blob", blob_of(F.col("text")))
-    copies = docs.groupBy("_blob").agg(F.count("*").alias("_copies"))
-    found = cut(found.join(copies, "_blob"))
-    joined = join_counted(docs, found, "_blob", "_copies", docs.count(), "left")
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    return joined.select(*docs.drop("_blob").columns, F.coalesce("secrets", none).alias("secrets"))
+    listed = may_be_in(found, "_blob")
+    rest = docs.filter(~listed).select(*docs.columns, none.alias("secrets"))
+    some = docs.filter(listed)
+    # Blobs without findings that seem to be listed are counted too: such a one may be frequent.
+    copies = cut(some.groupBy("_blob").agg(F.count("*").alias("_copies")).join(found, "_blob", "left"))
+    total = copies.agg(F.coalesce(F.sum("_copies"), F.lit(0))).first()[0]
+    joined = join_counted(some, copies, "_blob", "_copies", total).select(*docs.columns, F.coalesce("secrets", none).alias("secrets"))
+    return joined.unionByName(rest).drop("_blob")
 
 
 def scan_secrets(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
