@@ -119,8 +119,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("
     base = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
     base = base.withColumn("_rule", longest_rule(rules, F.col("host"), F.col("path")))
     urls_of = cut(base.groupBy("host").agg(F.count("*").alias("_urls")))
-    split_hosts = cut(segment_hosts(urls_of.select("host"), cut(word_counts(pages))).join(urls_of, "host"))
-    rows = join_counted(base, split_hosts, "host", "_urls", urls_of.agg(F.coalesce(F.sum("_urls"), F.lit(0))).first()[0], "left").withColumn("buckets", features(F.col("words"), F.col("path")))
+    # Hosts without a name, as the empty one, may be as frequent as any.
+    split_hosts = cut(urls_of.join(segment_hosts(urls_of.select("host"), cut(word_counts(pages))), "host", "left"))
+    rows = join_counted(base, split_hosts, "host", "_urls", urls_of.agg(F.coalesce(F.sum("_urls"), F.lit(0))).first()[0]).withColumn("buckets", features(F.col("words"), F.col("path")))
     labelled = rows.filter(F.col("_rule").isNotNull()).select((F.col("_rule.verdict") == "block").alias("block"), "buckets")
     weights = pages.sparkSession.sparkContext.broadcast(fit_weights(labelled))
 
