@@ -159,9 +159,11 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Classifier:
     """A classifier from at most rows labelled texts, those of the lowest hash of doc_id; all of them up to that bound.
 
-    Rows without doc_id or quality don't train; of several different labels of a document each counts, with one text.
+    Rows without doc_id or quality don't train, nor do labels of documents that docs lacks, which take no place of the bound; of several
+    different labels of a document each counts, with one text.
     """
     known = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = known.distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     # At most `rows` pairs of numbers, so that they can be sent to every task. Of a document's texts one trains.
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
