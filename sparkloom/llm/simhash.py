@@ -26,16 +26,20 @@ from sparkloom.llm.similar import BOTTOM, KEY, TOP, confirmed, set_key, shingle_
 #: several times as many probes and leave buckets small. Neither misses a pair of 4 differing bits.
 SEGMENTS, RADII = (22, 21, 21), (1, 1, 0)
 MANY, MANY_SEGMENTS, MANY_RADII = 1 << 30, (32, 32), (2, 1)
-#: Buckets up to this size are compared in one sweep of all rows.
-SMALL = 8
+#: Buckets up to this size are compared in one sweep of all rows; those above CROWD are split, so many times at most.
+SMALL, CROWD, SPLITS = 8, 4096, 2
 #: Share of the bits in which two texts of the least similarity differ on average; deviations above it that are searched.
 FAR, DEVIATIONS = math.acos(2 * TOP / (BOTTOM + TOP)) / math.pi, 3
 #: Pairs of the least similarity that meet in no segment at most, as computed.
 MISS = 0.002
 #: Fingerprints that one task compares, on average; a segment's value is frequent if it has over 1 / FREQUENT of all.
 GATHERED, FREQUENT = 1 << 16, 4096
-#: Texts of a component, at most, that all others of it are compared with first.
+#: Texts of a component, at most, that those not like its first centre are compared with.
 CENTRES = 8
+#: Words of the fingerprints that decide which pairs are compared in full.
+WIDE = 16
+#: Components whose bits a task adds up before it hands them on.
+SUMMED = 1 << 12
 #: Fingerprints that may share a segment's value, however few there are.
 RARE = 64
 #: Up to so many of equal values all pairs are compared, so many places at a time.
@@ -47,22 +51,17 @@ def sign_bits(hashes: np.ndarray, words: int = 1) -> bytes:
 
     They count as they are for the first word and remixed for more; of no hashes it is zero.
     """
-    if not len(hashes):
-        return bytes(8 * words)
-    out = []
-    for w in range(words):
-        h = hashes
-        if w:  # splitmix64
-            h = h + np.uint64(w * 0x9E3779B97F4A7C15 & 2**64 - 1)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h = h ^ (h >> np.uint64(31))
-        set_in = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(h), 1 << 15):
-            some = h[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
-            set_in += np.unpackbits(some, axis=1).sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * set_in > len(h)).tobytes())
-    return b"".join(out)
+    set_in = np.zeros(64 * words, dtype=np.int64)
+    steps = np.array([w * 0x9E3779B97F4A7C15 & 2**64 - 1 for w in range(words)], dtype=np.uint64)
+    for at in range(0, len(hashes), 255):  # so many are counted in single bytes
+        h = hashes[at : at + 255, None] + steps
+        if words > 1:  # splitmix64
+            m = h[:, 1:]
+            m = (m ^ (m >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            m = (m ^ (m >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h[:, 1:] = m ^ (m >> np.uint64(31))
+        set_in += np.unpackbits(h.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * set_in > len(hashes)).tobytes()
 
 
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -167,10 +166,53 @@ def near_links(prints: DataFrame, most: int, segments: Sequence[int] = SEGMENTS,
             yield flush(*(np.concatenate([p[i] for p in held]) for i in (0, 1)))
 
     probes = prints.select("fingerprint").mapInArrow(probe, "bucket long, print long")
-    met = probes.repartition("bucket").sortWithinPartitions("bucket", "print")
+    each = sum(math.comb(bits, k) for bits, radius in zip(segments, radii, strict=True) for k in range(radius + 1))
+    met = _uncrowded(probes, most, segments, max(CROWD, prints.count() * each >> 20))
+    met = met.repartition("bucket").sortWithinPartitions("bucket", "print")
     return met.mapInArrow(verify, "a binary, b binary")
 
 
+def _uncrowded(probes: DataFrame, most: int, segments: Sequence[int], crowd: int) -> DataFrame:
+    """bucket, print: probes, with the buckets of more than crowd rows split into smaller ones.
+
+    Two prints of a bucket that differ in at most `most` bits agree on one of most + 1 parts of the bits that the bucket doesn't
+    look at. So each row goes to a bucket for each part and its value there, and none that are near are parted. Buckets that are dense all over
+    would multiply, so they are split SPLITS times; what is near there is soon joined.
+    """
+
+    def mask(of: range) -> int:
+        return int(np.array([sum(1 << b for b in of)], dtype=np.uint64).view(np.int64)[0])
+
+    starts = [64 - sum(segments[: k + 1]) for k in range(len(segments))]
+    seen = F.array(*[F.lit(mask(range(a, a + bits))) for a, bits in zip(starts, segments, strict=True)])
+    rows, done = probes.withColumn("seen", seen[F.shiftright("bucket", 32).cast("int")]), []
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, own, seen = (batch.column(k).to_numpy().astype(np.uint64) for k in range(3))
+            for look in np.unique(seen):
+                some = np.flatnonzero(seen == look)
+                free = [b for b in range(64) if not int(look) >> b & 1]
+                for bits in np.array_split(free, most + 1):
+                    part = np.uint64(sum(1 << int(b) for b in bits))
+                    h = (bucket[some] ^ part) * np.uint64(0x9E3779B97F4A7C15) + (own[some] & part)
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    both = np.full(len(some), look | part)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h ^ (h >> np.uint64(31)), own[some], both)], names=["bucket", "print", "seen"])
+
+    for _ in range(SPLITS):
+        crowded = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("bucket"))
+        if crowded.isEmpty():
+            break
+        # There are fewer than a million of them, see near_links; each split multiplies rows by most + 1.
+        done.append(rows.join(F.broadcast(crowded), "bucket", "left_anti"))
+        rows = cut(rows.join(F.broadcast(crowded), "bucket").mapInArrow(split, "bucket long, print long, seen long"))
+    for other in done:
+        rows = rows.unionByName(other)
+    return rows.select("bucket", "print")
+
+
 def near_components(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
     """Rows doc_id, text_hash (xxhash64 of the text), fingerprint, root and component_id, one for each row of docs.
 
@@ -193,6 +235,11 @@ def near_components(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame
     return join_counted(rows, members, "fingerprint", "copies", total["rows"]).select("doc_id", "text_hash", "fingerprint", "root", "component_id")
 
 
+def far_bits(words: int) -> int:
+    """Bits in which fingerprints of so many words differ for two sets of the least similarity, and DEVIATIONS more."""
+    return round(64 * words * FAR + DEVIATIONS * math.sqrt(64 * words * FAR * (1 - FAR)))
+
+
 @dataclass(frozen=True)
 class Layout:
     """How wide fingerprints are searched: words of 64 bits, segments of so many bits, and those of them that name a group."""
@@ -218,7 +265,7 @@ class Layout:
     @property
     def most(self) -> int:
         """Differing bits of a link."""
-        return round(64 * self.words * FAR + DEVIATIONS * math.sqrt(64 * self.words * FAR * (1 - FAR)))
+        return far_bits(self.words)
 
     @property
     def close(self) -> int:
@@ -226,8 +273,8 @@ class Layout:
         return int(64 * self.words * FAR)
 
     def values(self, prints: np.ndarray) -> Iterator[np.ndarray]:
-        """The values of each segment; prints has a row of words for each fingerprint."""
-        size, wide = 64 * self.words, np.concatenate([prints, prints[:, :1]], axis=1)
+        """The values of each segment; prints has a row of words for each fingerprint, of which the first ones count."""
+        size, wide = 64 * self.words, np.concatenate([prints[:, : self.words], prints[:, :1]], axis=1)
         for k in range(self.segments):
             start = k * self.bits if self.bits * self.segments <= size else round(k * size / self.segments)
             word, off = divmod(start, 64)
@@ -299,15 +346,17 @@ def _pairs_of(value: np.ndarray, number: np.ndarray, prints: np.ndarray, reach:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _apart(value: np.ndarray, number: np.ndarray, prints: np.ndarray, labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows with equal values, different labels and at most `most` differing bits; number is the row of each value."""
+def _apart(value: np.ndarray, number: np.ndarray, prints: np.ndarray, labels: np.ndarray, words: int, most: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with equal values, different labels and few differing bits, in the first words and in all; number is the row of each value."""
     left, right = [], []
     swept, large = _meetings(value)
     for a, b in swept:
         a, b = number[a], number[b]
         some = labels[a] != labels[b]
         a, b = a[some], b[some]
-        near = _within(prints, a, b, most)
+        near = _within(prints[:, :words], a, b, most[0])
+        a, b = a[near], b[near]
+        near = _within(prints, a, b, most[1])
         left.append(a[near])
         right.append(b[near])
     for places in large:
@@ -316,7 +365,8 @@ def _apart(value: np.ndarray, number: np.ndarray, prints: np.ndarray, labels: np
         few = kind != times.argmax()  # of two in different labels one at least isn't in the most frequent
         for at in np.flatnonzero(few):
             others = own[(kind != kind[at]) & (~few | (np.arange(len(own)) > at))]
-            others = others[_near(prints[others], prints[own[at]]) <= most]
+            others = others[_near(prints[others, :words], prints[own[at], :words]) <= most[0]]
+            others = others[_near(prints[others], prints[own[at]]) <= most[1]]
             left.append(np.full(len(others), own[at]))
             right.append(others)
     none = np.zeros(0, dtype=np.int64)
@@ -358,7 +408,8 @@ def _spots(prints: DataFrame, layout: Layout, more: str) -> DataFrame:
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for k, value in enumerate(layout.values(_matrix(batch.column(0), layout.words))):
+                words = len(batch.column(0)[0].as_py()) // 8
+                for k, value in enumerate(layout.values(_matrix(batch.column(0), words))):
                     spot = pa.array((value | np.uint64(k << 32)).astype(np.int64))
                     yield pa.RecordBatch.from_arrays([spot, batch.column(0), batch.column(1)], names=["spot", "print", more])
 
@@ -411,16 +462,18 @@ def _ball(layout: Layout, group: int, prints: np.ndarray) -> tuple[np.ndarray, n
 def wide_pairs(sets: DataFrame, layout: Layout) -> DataFrame:
     """a, b: all pairs of keys that meet as in wide_links and are near, but have different roots; each pair once.
 
-    sets has key and root (binary of KEY bytes) and print.
+    sets has key and root (binary of KEY bytes) and print, here of WIDE words: its first ones meet, and all of them decide. Of texts
+    of a similarity of 0.65 one pair in fifty is near by 16 words, where it is two in three by 4.
     """
     words, low = layout.words, layout.bits - layout.top
+    most = (layout.most, far_bits(WIDE))
 
     def pairs(group: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        prints = _matrix(rows["print"], words)
+        prints = _matrix(rows["print"], WIDE)
         both = np.frombuffer(b"".join(rows["both"].to_pylist()), dtype=f"V{KEY}").reshape(-1, 2)
         labels = np.unique(both[:, 1].copy().view(">u8").reshape(-1, KEY // 8), axis=0, return_inverse=True)[1]
         number, value = _ball(layout, group, prints)
-        a, b = _apart(value, number, prints, labels, layout.most)
+        a, b = _apart(value, number, prints, labels, words, most)
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         # A pair is told in the first segment that it meets in, and there in one group of the two that may hold both.
         segment, name = divmod(group, 1 << layout.top)
@@ -453,14 +506,70 @@ def bits_between(a: Column, b: Column, words: int) -> Column:
     return sum((F.bit_count(word(a, k, h).bitwiseXOR(word(b, k, h))) for k in range(words) for h in (0, 1)), F.lit(0))
 
 
+def centres_of(linked: DataFrame, several: DataFrame, words: int) -> DataFrame:
+    """scope, n, centre (key, print): a member of each component that others are likely to be like.
+
+    For more than CENTRES members it is the one nearest to the majority of all their bits: edits of one text agree on that text's, whoever made
+    them. Tasks add up the bits of components, so that a large one is no task of its own. For few members it is the first.
+    """
+    bits = 64 * words
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["scope", "sums"])
+
+        for batch in batches:
+            scope, where = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            order = np.argsort(where, kind="stable")
+            each = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, bits // 8)[order], axis=1)
+            sums = np.add.reduceat(each, np.searchsorted(where[order], np.arange(len(scope))), axis=0, dtype=np.int64) if len(scope) else each
+            for k, total in zip(scope.tolist(), sums, strict=True):
+                held[k] = held.get(k, 0) + total
+            if len(held) > SUMMED:
+                yield told()
+                held = {}
+        if held:
+            yield told()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, total = None, None
+        for batch in batches:
+            for k, n, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if scope is not None and k != scope[0]:
+                    yield majority(scope, total)
+                    total = None
+                own = np.frombuffer(sums, dtype=np.int64)
+                scope, total = (k, n), own if total is None else total + own
+        if scope is not None:
+            yield majority(scope, total)
+
+    def majority(scope: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        print_ = np.packbits(2 * total > scope[1]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([scope[0]]), pa.array([scope[1]]), pa.array([print_], pa.binary())], names=["scope", "n", "middle"])
+
+    big = several.filter(F.col("n") > CENTRES)
+    total = linked.count()
+    own = join_counted(linked, big, "scope", "n", total).select("scope", "n", "key", "print")
+    sums = own.select("scope", "print").mapInArrow(partial, "scope long, sums binary").join(big, "scope").select("scope", "n", "sums")
+    middle = cut(sums.repartition("scope").sortWithinPartitions("scope").mapInArrow(whole, "scope long, n long, middle binary"))
+    near = join_counted(linked, middle, "scope", "n", total).groupBy("scope")
+    best = near.agg(F.min(F.struct(bits_between(F.col("print"), F.col("middle"), words).alias("apart"), "key", "print")).alias("best"))
+    first = linked.groupBy("scope").agg(F.count("*").alias("n"), F.min(F.struct("key", "print")).alias("first"))
+    best = best.select("scope", F.struct("best.key", "best.print").alias("best"))
+    return cut(first.join(best, "scope", "left").select("scope", "n", F.coalesce("best", "first").alias("centre")))
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs less all but one of each component of texts whose sets of width words are similar.
 
     Similar is a Jaccard similarity of TOP / BOTTOM or more. Fingerprints of the sets find what may be similar (see Layout for the
     chance that a pair at the bound is missed); within each component of near fingerprints similarity is then computed from
-    the whole sets, for all pairs that are near and not yet joined, and what isn't similar is parted again. The row of the smallest doc_id (nulls last), then row hash, stays. All
-    texts without words are alike, so one of them stays; a null text is an empty one; of repeated rows one stays; an empty table
-    gives an empty result; columns of the input that are named like working ones are kept as they are.
+    the whole sets: first with one centre, then, for what isn't like it, with up to CENTRES others, and at last for all pairs
+    that are near by wide fingerprints and not yet joined. What isn't similar is parted again. The row of the smallest doc_id (nulls last), then
+    row hash, stays; of rows that agree in both the first by the plain ones of the other columns. All texts without words are alike, so one of them stays; a null text is an empty
+    one; of repeated rows one stays; an empty table gives an empty result; columns of the input that are named like working ones are kept as they are.
     """
     layout = Layout.of(docs.count())
 
@@ -472,6 +581,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
 
         return pd.Series([one(t) for t in texts], dtype=object)
 
+    @F.pandas_udf("binary")
+    def wide_print(texts: pd.Series) -> pd.Series:
+        return pd.Series([sign_bits(shingle_set(t, width), WIDE) for t in texts], dtype=object)
+
     text = F.coalesce("text", F.lit(""))
     # The key of a row, never null: a digest of its id and text.
     row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), text)))
@@ -488,17 +601,28 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     linked = cut(join_counted(placed, several, "scope", "n", members).select("key", "scope", "print", F.col("first.row").alias("row")))
     texts = docs.select(row.alias("row"), text.alias("text")).join(linked.select("row", "key"), "row").dropDuplicates(["row"]).select("key", "text")
     texts = cut(texts, "sets")
-    # Each is compared with a few of its component, and then all that are near and not yet joined by that.
+
+    def like(members: DataFrame, centres: DataFrame, centre: Column, total: int) -> DataFrame:
+        """Similar pairs of members and the centres of their components."""
+        stars = join_counted(members, centres, "scope", "n", total).select("key", "print", centre.alias("centre")).filter(F.col("key") != F.col("centre.key"))
+        stars = stars.filter(bits_between(F.col("print"), F.col("centre.print"), layout.words) <= layout.most)
+        return confirmed(stars.select(F.col("centre.key").alias("a"), F.col("key").alias("b")), texts, width)
+
+    centres = centres_of(linked, several, layout.words)
+    links = like(linked, centres, F.col("centre"), linked.count())
+    rest = cut(linked.join(links.select(F.col("b").alias("key")).unionByName(centres.select("centre.key")), "key", "left_anti"))
     slot = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).alias("slot")
-    slots = linked.groupBy("scope", slot).agg(F.min(F.struct("key", "print")).alias("centre"), F.count("*").alias("n"))
-    centres = cut(slots.groupBy("scope").agg(F.collect_list("centre").alias("centres"), F.sum("n").alias("n")))
-    stars = join_counted(linked, centres, "scope", "n", linked.count()).select("key", "print", F.explode("centres").alias("centre")).filter(F.col("key") != F.col("centre.key"))
-    stars = stars.filter(bits_between(F.col("print"), F.col("centre.print"), layout.words) <= layout.most)
-    stars = stars.select(F.least("key", "centre.key").alias("a"), F.greatest("key", "centre.key").alias("b")).distinct()
-    links = confirmed(stars, texts, width)
-    apart = linked.join(connect(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    more = confirmed(wide_pairs(apart, layout), texts, width)
-    same = connect(links.select("a", "b").unionByName(more)).withColumnRenamed("node", "key")
+    slots = rest.groupBy("scope", slot).agg(F.min(F.struct("key", "print")).alias("centre"), F.count("*").alias("n"))
+    more = cut(slots.groupBy("scope").agg(F.collect_list("centre").alias("centres"), F.sum("n").alias("n")))
+    links = links.unionByName(like(rest, more, F.explode("centres"), rest.count()))
+    apart = cut(linked.join(connect(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    # Only components that are still in parts have pairs left.
+    parts = cut(apart.groupBy("scope").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("scope", "n"))
+    apart = join_counted(apart, parts, "scope", "n", linked.count()).join(texts, "key").select("key", "root", wide_print("text").alias("print"))
+    links = links.unionByName(confirmed(wide_pairs(cut(apart), layout), texts, width))
+    same = connect(links).withColumnRenamed("node", "key")
     found = placed.join(same, "key", "left").withColumn("root", F.coalesce("root", "key"))
     stay = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "array", "struct", "variant"))]
+    one = F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *plain)).alias("_one")
+    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").groupBy("_row").agg(one).select("_one.*")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,13 @@ def with_texts(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
 def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b: distinct keys of nodes, which has key and text) whose shingle sets are similar."""
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        of = lru_cache(maxsize=64)(lambda t: shingle_set(t, width))
-        return pd.Series([are_similar(of(x), shingle_set(y, width)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(maxsize=64)(lambda t: shingle_set(t, width))  # pairs of an a come together
+        for batch in batches:
+            a, b = (batch.column(k).to_pylist() for k in (2, 3))
+            near = [are_similar(of(x), of(y)) for x, y in zip(a, b, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = cut(pairs)
-    return cut(with_texts(pairs, nodes, pairs.count()).filter(similar("text_a", "text_b")).select("a", "b"))
+    met = with_texts(pairs, nodes, pairs.count()).select("a", "b", "text_a", "text_b")
+    return cut(met.mapInArrow(similar, "a binary, b binary"))
