@@ -11,16 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sparkloom.llm.common import cut, remove
 
-#: Bits of the filter for each entry, and bits that an entry sets: about one entry in a hundred seems to be there by chance.
-ENTRY, HASHES = 10, 6
-#: Bits of a filter that is broadcast (128 MB). A larger model goes out piece by piece, in a pass over the texts for each.
-PIECE = 1 << 30
+#: Bits of the filter for each entry, and bits that an entry sets: about one entry in fifty seems to be there by chance.
+ENTRY, HASHES = 8, 5
+#: Bits of a filter that is broadcast (96 MB). A larger model goes out piece by piece, in a pass over the texts for each.
+PIECE = 3 << 28
 #: A word is frequent if it is over 1 / FREQUENT of all tokens, so fewer than FREQUENT words are: their exact counts are broadcast.
 FREQUENT = 1 << 21
 #: Weight of the word's own probability against that after the word before it, in tokens.
@@ -103,24 +104,27 @@ def place(entry: np.ndarray, k: int, bits: np.ndarray | np.uint64) -> np.ndarray
 
 @dataclass
 class Filter:
-    """A log-frequency Bloom filter in segments, one for each part of the keys and kind; starts are in bytes."""
+    """A log-frequency Bloom filter in segments, one for each part of the keys and kind; starts are in bytes.
+
+    Unlike an array, a bytearray is loaded by a worker without a second copy.
+    """
 
     parts: int
     starts: np.ndarray
-    bits: np.ndarray
+    bits: bytearray
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """The quantised count of each key: the last level up to which all are there. Never too low; too high by chance."""
         segment = (part_of(keys, self.parts) << 1) | kind
         start = self.starts[segment].astype(np.uint64) << np.uint64(3)
         size = (self.starts[segment + 1] - self.starts[segment]).astype(np.uint64) << np.uint64(3)
-        out, level = np.zeros(len(keys), dtype=np.int64), 1
+        bits, out, level = np.frombuffer(self.bits, dtype=np.uint8), np.zeros(len(keys), dtype=np.int64), 1
         alive = np.flatnonzero(size > 0)
         while len(alive) and level <= 64:
             entry = entries(keys[alive], level)
             for k in range(HASHES):
                 at = place(entry, k, size[alive]) + start[alive]
-                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                hit = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
                 alive, entry = alive[hit], entry[hit]
             out[alive] = level
             level += 1
@@ -274,14 +278,15 @@ def build_filter(counts: DataFrame, parts: int, piece: tuple[int, int], groups:
                             is_set[place(entry, k, np.uint64(8 * size))] = True
                     yield _batch([(2 * part + kind, np.packbits(is_set, bitorder="little").tobytes())], "segment int, bits binary")
 
-    found = sorted(counts.select("part", "kind", "keys", "n").mapInArrow(build, "segment int, bits binary").collect())
+    found = cut(counts.select("part", "kind", "keys", "n").mapInArrow(build, "segment int, bits binary"), "filter")
     sizes = np.zeros(2 * parts, dtype=np.int64)
-    for r in found:
-        sizes[r[0]] = len(r[1])
+    for r in found.select("segment", F.octet_length("bits")).collect():
+        sizes[r[0]] = r[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    bits = np.empty(int(starts[-1]), dtype=np.uint8)
-    for r in found:
-        bits[starts[r[0]] : starts[r[0] + 1]] = np.frombuffer(r[1], dtype=np.uint8)
+    bits = bytearray(int(starts[-1]))
+    for r in found.toLocalIterator():  # the driver holds it once, and a task's rows
+        bits[starts[r[0]] : starts[r[0] + 1]] = r[1]
+    remove(counts.sparkSession, found)
     return Filter(parts, starts, bits)
 
 
@@ -307,11 +312,11 @@ def log_probabilities(ids: np.ndarray, model: Filter, piece: tuple[int, int], gr
     return out
 
 
-def texts_at_once(texts: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def texts_at_once(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Word ids of some texts at a time, and the number of the first."""
     at, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        held.append(word_ids(t))
+        held.append(word_ids(t.as_py()))
         size += len(held[-1])
         if size >= SCORED:
             yield at, held
@@ -385,7 +390,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     gives: the middle of 1, 2-3, 4-7 and so on, seldom too high (see ENTRY) and never too low; c(v w) is at most c(v) and c(w).
 
     The filter is made where the counts lie and broadcast in pieces of at most PIECE bits. One piece is all there is for some
-    80 million pairs; beyond that words fall into groups of slots, and each pair of groups is a piece with a pass over the texts.
+    70 million different pairs; beyond that words fall into groups of slots, and each pair of groups is a piece with a pass over the texts.
     A null text is an empty one: its only token is the end. A null in training is false; repeated rows count and are scored each; without
     training rows every count is 0 and N + V + 1 is 1; an empty table gives an empty result; other columns of docs are left out.
     """
@@ -405,8 +410,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = frequent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, held in texts_at_once(texts):
+            for at, held in texts_at_once(batch.column(1)):
                 ids = np.concatenate(held)
                 sizes = np.array([len(h) for h in held])
                 starts = np.cumsum(sizes) - sizes
@@ -425,13 +429,17 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     first = cut(rows.select("doc_id", "text", "training", F.monotonically_increasing_id().alias("_row")).mapInArrow(score, schema), "scores")
+    for sent in (model, frequent):
+        sent.destroy()
     out = first.drop("text", "tail").join(rare_scores(first.filter(F.octet_length("tail") > 0), counts, parts, space).withColumnsRenamed({"base": "_base", "known": "_known"}), "_row", "left")
     none = F.lit(0).cast("long")
     total = F.col("score")
     if groups > 1:
         more = None
         for piece in ((i, j) for i in range(groups) for j in range(groups) if i or j):
-            part = cut(_piece_scores(first, build_filter(counts, parts, piece, groups), piece, groups, space))
+            sent = spark.sparkContext.broadcast(build_filter(counts, parts, piece, groups))
+            part = cut(_piece_scores(first, sent, piece, groups, space))
+            sent.destroy()
             more = part if more is None else more.unionByName(part)
         out = out.join(more.groupBy("_row").agg(F.sum("more").alias("more")), "_row")
         total = total + F.col("more")
@@ -441,13 +449,12 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     return out
 
 
-def _piece_scores(rows: DataFrame, own: Filter, piece: tuple[int, int], groups: int, space: float) -> DataFrame:
+def _piece_scores(rows: DataFrame, model: Broadcast, piece: tuple[int, int], groups: int, space: float) -> DataFrame:
     """_row, more: what the tokens of a piece add to each row's score, in 1 / FIXED."""
-    model = rows.sparkSession.sparkContext.broadcast(own)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, held in texts_at_once(batch.column(1).to_pylist()):
+            for at, held in texts_at_once(batch.column(1)):
                 sizes = np.array([len(h) for h in held])
                 sums = np.add.reduceat(log_probabilities(np.concatenate(held), model.value, piece, groups, space), np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(np.rint(sums * FIXED).astype(np.int64))], names=["_row", "more"])
