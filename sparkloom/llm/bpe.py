@@ -33,6 +33,7 @@ class Vocabulary(dict):
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ranks.items():
             self.automaton.add_word(t.decode("latin-1"), i)
+        self.automaton.make_automaton()
         self.by_chars = {t.decode("latin-1"): i for t, i in self.ranks.items()}
         self.most = max(map(len, self.ranks))
         self.older: dict[str, bytes] = {}
@@ -93,11 +94,7 @@ class Vocabulary(dict):
 
     def _longest(self, chars: str, at: int) -> int:
         """The longest token that chars has at this place."""
-        ahead = chars[at : at + self.most]
-        n = self.automaton.longest_prefix(ahead)  # so far as any token goes on
-        while (token := self.by_chars.get(ahead[:n])) is None:
-            n -= 1
-        return token
+        return next(self.automaton.iter_long(chars[at : at + self.most]))[1]
 
     def ids(self, piece: str) -> list[int]:
         """Token ids of a piece: from each place the longest match that is compatible with the token before, with a step back where none is."""
