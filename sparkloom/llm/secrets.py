@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from sparkloom.llm.common import cut, join_counted
 
@@ -196,20 +195,14 @@ def as_string(secrets: Column) -> Column:
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-@F.pandas_udf(StringType())
-def redact(texts: pd.Series, secrets: pd.Series) -> pd.Series:
-    """Texts with each run of overlapping spans replaced by one mark; a null text stays null."""
-
-    def one(text: str | None, spans) -> str | None:
-        if text is None or len(spans) == 0:
-            return text
-        out, at = [], 0
-        for s in spans:
-            if s["start"] >= at:
-                out += [text[at : s["start"]], "[SECRET]"]
-            at = max(at, s["end"])
-        return "".join([*out, text[at:]])
-
-    return pd.Series([one(t, s) for t, s in zip(texts, secrets, strict=True)], dtype=object)
+def redact(text: str, secrets: Column | str) -> Column:
+    """The text column with each run of overlapping spans replaced by one mark; a null text stays null."""
+    none = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
+    def step(so_far: Column, span: Column) -> Column:
+        between = F.substring(F.col(text), so_far["at"] + 1, span["start"] - so_far["at"])
+        out = F.when(span["start"] >= so_far["at"], F.concat(so_far["out"], between, F.lit("[SECRET]"))).otherwise(so_far["out"])
+        return F.struct(out.alias("out"), F.greatest(so_far["at"], span["end"]).alias("at"))
 
+    rest = F.length(text) + 1
+    return F.aggregate(secrets, none, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, rest)))

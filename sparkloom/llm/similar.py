@@ -54,8 +54,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(maxsize=64)(lambda t: shingle_set(t, width))  # pairs of an a come together
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            near = [are_similar(of(x), of(y)) for x, y in zip(a, b, strict=True)]
+            near = [are_similar(of(x.as_py()), of(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = cut(pairs)
