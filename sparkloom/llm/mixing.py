@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, draw, words
+from sparkloom.llm.common import cut, draw, join_counted, words
 
 ADDED = ("size", "source_size", "target", "copies")
 #: Sources up to this number are broadcast: some forty bytes each, and their names.
@@ -15,16 +15,16 @@ FEW = 100_000
 
 
 def source_targets(docs: DataFrame, size: Column, weights: Sequence[int], cap: int) -> DataFrame:
-    """One row per source: source, source_size, target.
+    """One row per source: source, rows, source_size, target.
 
     The total size is shared by weight; a source stops at cap times its own size and the rest is
     shared again. With the sources in the order of cap * size / weight this has a closed form:
     the first source that need not stop fixes the level at which all later ones are filled.
     """
-    per = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
+    per = docs.groupBy("source").agg(F.count("*").alias("rows"), F.sum(size).alias("source_size"))
     weight = F.array(*[F.lit(int(w)).cast("long") for w in weights])
     position = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.select("source", "source_size", weight[F.pmod(position, F.lit(len(weights)))].alias("weight"))
+    per = per.select("source", "rows", "source_size", weight[F.pmod(position, F.lit(len(weights)))].alias("weight"))
     by_room = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     before = F.coalesce(F.sum(cap * F.col("source_size")).over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     everything = Window.partitionBy()
@@ -38,7 +38,7 @@ def source_targets(docs: DataFrame, size: Column, weights: Sequence[int], cap: i
     level = F.max_by(F.struct("left", "rest"), F.when(enough, F.col("rest"))).over(everything)
     filled = (F.col("weight") * level["left"]).cast("double") / level["rest"].cast("double")
     target = F.least((cap * F.col("source_size")).cast("double"), filled)
-    return per.select("source", "source_size", target.alias("target"))
+    return per.select("source", "rows", "source_size", target.alias("target"))
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, size: Column | None = None, seed: int = 17) -> DataFrame:
@@ -58,11 +58,19 @@ def _sized(docs: DataFrame, size: Column | None, seed: int) -> DataFrame:
     return docs.drop(*ADDED).select("*", size.alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("_draw"))
 
 
+def _key(source: str) -> Column:
+    """A source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+
+
 def _planned(docs: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
-    per = cut(source_targets(docs, F.col("size"), weights, cap).withColumnRenamed("source", "_source"))
-    if per.count() <= FEW:  # else texts are shuffled by source
-        per = F.broadcast(per)
-    joined = docs.join(per, docs["source"].eqNullSafe(per["_source"]), "left").drop("_source")
+    per = cut(source_targets(docs, F.col("size"), weights, cap).withColumnsRenamed({"source": "_source", "rows": "_rows"}))
+    if per.count() <= FEW:
+        joined = docs.join(F.broadcast(per), docs["source"].eqNullSafe(per["_source"]), "left").drop("_source", "_rows")
+    else:  # texts are shuffled by source, those of a frequent one in parts
+        per = per.withColumn("_key", _key("_source")).drop("_source")
+        rows = per.agg(F.sum("_rows")).first()[0]
+        joined = join_counted(docs.withColumn("_key", _key("source")), per, "_key", "_rows", rows).drop("_key", "_rows")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     extra = F.col("_draw") < rate - F.floor(rate)
     return joined.withColumn("copies", F.floor(rate) + extra.cast("long")).drop("_draw")

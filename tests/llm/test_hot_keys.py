@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparkloom.llm import quality, secrets, simhash, similar, urls
+from sparkloom.llm import mixing, quality, secrets, simhash, similar, urls
 from sparkloom.llm.common import shared_folder
 from sparkloom.llm.queries import RULES
 from test_similar import edited, plain_roots
@@ -76,6 +76,18 @@ def test_url_edges(spark):
     assert urls.judge_urls(pages.limit(0), RULES).count() == 0
 
 
+def test_a_frequent_source_among_many(spark, by_task, monkeypatch):
+    """Where sources are too many to be broadcast, the rows of one that half of all have are dealt; the plan is the same."""
+    rows = [(i, "w " * (i % 7), None if i % 2 else f"s{i % 40}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(16)
+    want = sorted(map(tuple, mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "copies").collect()))
+    monkeypatch.setattr(mixing, "FEW", 3)
+    planned = mixing.plan_mix(docs).select("doc_id", "size", "source_size", "target", "copies")
+    sizes = by_task(planned)
+    assert sum(sizes) == 8000 and sizes[0] <= 1500, sizes[:5]
+    assert sorted(map(tuple, planned.collect())) == want
+
+
 def test_labels_of_absent_documents_take_no_place(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
