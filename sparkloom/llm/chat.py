@@ -94,8 +94,9 @@ def format_chats(chats: DataFrame) -> DataFrame:
     A conversation's formatted text is its pieces joined by seq; the loss mask is the span of code
     points, from the start of the piece, of an assistant's text, and null for other roles. Turns go by
     turn, then role, then text, nulls first; rows that agree in all are kept as turns of their own.
-    A null role or text is an empty one; a null conv_id is a conversation of its own. Conversations
-    of any length stream through sorted partitions; none is gathered.
+    A null role or text is an empty one; a null conv_id is a conversation of its own. Conversations and texts
+    of any length stream through sorted partitions; none is gathered. An empty table gives an empty result; other columns of
+    chats, whatever their names, are left out.
     """
     key = chats.schema["conv_id"].dataType.simpleString()
     rows = chats.select("conv_id", "turn", "role", "text")
@@ -135,6 +136,8 @@ def read_back(pieces: DataFrame, arranged: bool = False) -> DataFrame:
     """Per conversation, what a reader of the formatted text finds: counts and digests of turns and loss text.
 
     arranged: pieces come straight from format_chats, which leaves each conversation in one partition, in order.
+    A conversation whose turns are all empty has digests of what its turns are; a null conv_id is one of its own; rows that repeat are
+    turns of their own; no pieces give no rows; columns other than those of format_chats are left out.
     """
     key = pieces.schema["conv_id"].dataType.simpleString()
     if not arranged:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is frequent if it has over 1 / HOT of all rows: there are fewer than HOT of those.
 HOT = 1024
+#: Paths of the working tables made so far, so that who has written a result can remove what led to it.
+MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +76,16 @@ def draw(seed: int, doc_id: Column, text: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove_made(spark: SparkSession, since: int, but: str = "") -> None:
+    """Delete the working tables made since there were so many, but one; for what is written and read no more from them."""
+    for path in MADE[since:]:
+        if path != but:
+            remove(spark, path)
+    MADE[since:] = [but] if but else []
 
 
 def remove(spark: SparkSession, table_: DataFrame | str) -> None:

@@ -13,7 +13,8 @@ def connect(links: DataFrame) -> DataFrame:
 
     Large stars and small stars in turn: each node's neighbours are linked to the smallest of them, until nothing
     changes. Each round is a few joins of the links with themselves, and is cut; rows of a node with very many links
-    are not gathered in one task.
+    are not gathered in one task. A link with a null end, of a node to itself or repeated adds nothing; no links give no rows; columns
+    other than a and b are left out.
     """
     spark = links.sparkSession
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -131,6 +131,8 @@ def near_links(prints: DataFrame, most: int, segments: Sequence[int] = SEGMENTS,
 
     Fingerprints are cut into segments; two meet in a bucket if a segment's values are within its radius, and
     are then compared in full. Where sum(radius + 1) over all segments exceeds `most` no pair can be missed.
+    Buckets that very many share are split over tasks. Fingerprints are of eight bytes, distinct and not null; of none, or one, there are no links; columns other than
+    fingerprint are left out.
     """
 
     def numbers(column: pa.Array) -> np.ndarray:

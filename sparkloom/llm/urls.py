@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Longest word that the segmentation knows; size of the hashed table of token weights.
 LONGEST, BUCKETS = 24, 1 << 16
+#: Places of a name whose substrings are listed at once.
+STARTS = 4096
 
 Rule = tuple[str, str, str]
 
@@ -71,19 +74,33 @@ def segment_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """
     names = cut(hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}\p{N}]+")).alias("at", "name")).filter("name != ''"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1
-    parts = F.expr(f"flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST}, length(name) - i + 1)), l -> substring(name, i, l))))")
-    times = names.groupBy("name").agg(F.count("*").alias("times"))
-    pieces = times.select("name", F.explode(F.array_distinct(parts)).alias("word"))
+    times = names.groupBy("name").agg(F.count("*").alias("times")).withColumn("key", F.md5("name"))
+
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each name's substrings, as many as STARTS places give at a time, with its key: a very long name is repeated for none."""
+        keys, words = [], []
+        for batch in batches:
+            for key, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for at in range(0, len(name), STARTS):
+                    some = {name[i : i + n] for i in range(at, min(at + STARTS, len(name))) for n in range(1, min(LONGEST, len(name) - i) + 1)}
+                    keys += [key] * len(some)
+                    words += some
+                    if len(words) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(words)], names=["key", "word"])
+                        keys, words = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["key", "word"])
+
+    pieces = times.select("key", "name").mapInArrow(pieces_of, "key string, word string")
     wanted = cut(pieces.groupBy("word").agg(F.count("*").alias("names")).join(counts, "word"))
     looked_up = wanted.agg(F.coalesce(F.sum("names"), F.lit(0))).first()[0]
-    known = join_counted(pieces, wanted, "word", "names", looked_up).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = join_counted(pieces, wanted, "word", "names", looked_up).groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def split(name: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([viterbi(a, {k["word"]: int(k["n"]) for k in b}, total) for a, b in zip(name, known, strict=True)], dtype=object)
 
     none = F.array().cast("array<struct<word:string,n:long>>")
-    split_names = times.join(known, "name", "left").select("name", "times", split("name", F.coalesce("known", none)).alias("parts"))
+    split_names = times.join(known, "key", "left").select("name", "times", split("name", F.coalesce("known", none)).alias("parts"))
     ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "parts"))), lambda x: x["parts"]))
     return join_counted(names, cut(split_names), "name", "times", names.count()).groupBy("host").agg(ordered.alias("words"))
 
@@ -113,7 +130,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("
     rules are (host, path, allow or block). URLs that a rule decides are the classifier's
     labelled rows; the others are blocked where the log odds of their host words and path
     tokens are above 0, both classes being held equally likely. So a null URL, an empty one, and any
-    URL when no rule fits anywhere score 0 and are allowed. Repeated rows are judged alike.
+    URL when no rule fits anywhere score 0 and are allowed. Repeated rows are judged alike; hosts, names and paths of any length are
+    judged whole; an empty table gives an empty result; columns of pages other than url, html and those in keep are left out, whatever their names.
     """
     url = F.col("url").cast("string")
     base = pages.select(*keep, host_of(url).alias("host"), path_of(url).alias("path"))
