@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, mixing, quality, secrets, simhash
-from sparkloom.llm.common import remove, shared_folder, table
+from sparkloom.llm.common import MADE, remove_made, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
@@ -18,7 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents that the quality rules keep.
 
     A text that is null, empty or under 20 words goes; repeated rows are judged alike; without labels of both kinds only the
-    counts decide; an empty table gives an empty one. As in all stages, columns other than those of documents are left out.
+    counts decide; an empty table gives an empty one. As in all stages, texts of any length are read whole, and columns other than those of
+    documents are left out.
     """
     return quality.judge_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).filter("kept").select(*COLUMNS)
 
@@ -39,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = secrets.scan_secrets(docs.select(*COLUMNS), shared_folder(spark, "ledger"))
     some = F.size("secrets") > 0
-    clean = found.withColumn("_text", F.when(some, secrets.redact("text", "secrets")).otherwise(F.col("text")))
+    clean = found.withColumn("_text", F.when(some, secrets.redact("text", F.col("secrets"))).otherwise(F.col("text")))
     n_chars = F.when(some, F.length("_text").cast("long")).otherwise(F.col("n_chars"))
     return clean.select("doc_id", F.col("_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
@@ -66,13 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each stage's rows are written to the shared folder and read again, then those before are removed."""
-    docs, before = table(spark, sf_dir, "documents"), None
+    """All stages on documents; each stage's rows are written to the shared folder and read again, then all that led to them is removed."""
+    docs, since = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES:
         path = shared_folder(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
+        remove_made(spark, since, but=path)
     return docs
