@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is frequent if it has over 1 / HOT of all rows: there are fewer than HOT of those.
 HOT = 1024
+#: Bits, at most, of a filter of keys, and bytes of the parts in which it is put together.
+BITS, SEGMENT = 1 << 25, 1 << 13
 #: Paths of the working tables made so far, so that who has written a result can remove what led to it.
 MADE: list[str] = []
 
@@ -61,6 +67,55 @@ def join_counted(rows: DataFrame, per: DataFrame, key: str, count: str, total: i
     return dealt.join(copies, [key, "_part"], how).drop("_part")
 
 
+def key_filter(keys: DataFrame) -> Callable[[list[bytes]], np.ndarray]:
+    """Which of some keys may be one of keys' (a table of one column): a Bloom filter, so that whole rows with other keys need no shuffle.
+
+    Keys are digests of 16 bytes or more. The filter has sixteen bits a key and BITS at most (4 MB, broadcast); beyond two million keys
+    more rows than need be seem to be there. None that is there is missed.
+    """
+    bits = min(BITS, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+    size = min(bits // 8, SEGMENT)
+
+    def places(data: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(x[:16] for x in data), dtype="<u4").reshape(-1, 4) & np.uint32(bits - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_set = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            is_set[places(batch.column(0).to_pylist())] = True
+        for at, part in enumerate(np.packbits(is_set, bitorder="little").reshape(-1, size)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # all parts together are of BITS at most
+        for batch in batches:
+            for at, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[at] = held.get(at, np.uint8(0)) | np.frombuffer(part, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
+
+    whole = bytearray(bits // 8)
+    for r in keys.mapInArrow(mark, "at long, part binary").repartition("at").mapInArrow(both, "at long, part binary").collect():
+        whole[r["at"] * size : (r["at"] + 1) * size] = r["part"]
+    sent = keys.sparkSession.sparkContext.broadcast(whole)
+
+    def may_be(data: list[bytes]) -> np.ndarray:
+        at = places(data)
+        return ((np.frombuffer(sent.value, dtype=np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+    return may_be
+
+
+def may_be_in(found: Callable[[list[bytes]], np.ndarray], key: str) -> Column:
+    """A key_filter as a column."""
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(found(keys.tolist()), dtype=bool)
+
+    return test(F.col(key))
+
+
 def words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

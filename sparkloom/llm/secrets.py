@@ -6,14 +6,12 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, join_counted
+from sparkloom.llm.common import cut, join_counted, key_filter, may_be_in
 
 Span = tuple[int, int]
 
@@ -76,8 +74,6 @@ RULES = (
     Rule("prefixed", 1, _plain(PREFIXED)),
 )
 BASE = ("assign", "access", "hex")
-#: Bits, at most, of the filter of blobs that have findings.
-BITS = 1 << 24
 LEDGER = "blob binary, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -100,16 +96,26 @@ def extend_ledger(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES)
 
     A pair of blob and rule version is scanned once, however many rows, now or later, have that
     blob; blobs without findings are entered too. A run that is repeated after a failure may
-    enter a pair twice, with the same spans; readers take one.
+    enter a pair twice, with the same spans; readers take one. The digests alone are counted and looked up; a text that is new and that
+    one row has is scanned where it lies, so that only texts of several rows or for new rules are shuffled.
     """
     names = [f"{r.kind}@{r.version}" for r in rules]
     seen = read_ledger(versions.sparkSession, path).select("blob", F.concat_ws("@", "kind", "version").alias("pair"))
     seen = seen.filter(F.col("pair").isin(names)).groupBy("blob").agg(F.collect_set("pair").alias("seen"))
-    blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
+    rows = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     every = F.array(*map(F.lit, names))
-    unseen = blobs.join(seen, "blob", "left").withColumn("missing", F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, F.col("seen"))))
+    missing = F.when(F.col("seen").isNull(), every).otherwise(F.array_except(every, F.col("seen")))
+    state = cut(rows.groupBy("blob").agg(F.count("*").alias("copies")).join(seen, "blob", "left").select("blob", missing.alias("missing"), (F.col("seen").isNotNull() | (F.col("copies") > 1)).alias("known")))
+    known = key_filter(state.filter("known").select("blob"))
+    wanted = cut(state.filter(may_be_in(known, "blob")).filter(F.size("missing") > 0).select("blob", "missing"))
+    some = rows.filter(may_be_in(key_filter(wanted.select("blob")), "blob")).dropDuplicates(["blob"]).join(wanted, "blob")
     by_name = dict(zip(names, rules, strict=True))
 
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~known(batch.column(0).to_pylist())))
+            yield from scan(iter([batch.append_column("missing", pa.array([names] * batch.num_rows, pa.list_(pa.string())))]))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
@@ -122,38 +128,8 @@ def extend_ledger(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES)
             kinds = (pa.binary(), pa.string(), pa.int32(), spans_type)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["blob", "kind", "version", "spans"])
 
-    unseen.filter(F.size("missing") > 0).select("blob", "text", "missing").mapInArrow(scan, LEDGER).write.mode("append").parquet(path)
-
-
-def may_be_in(blobs: DataFrame, key: str) -> Column:
-    """Whether a row's key (a SHA-256) may be one of blobs': a Bloom filter, so that rows with other keys need no join.
-
-    It has sixteen bits a blob and BITS at most (2 MB, broadcast); beyond a million blobs more rows than need be seem to be there.
-    """
-    bits = min(BITS, max(1 << 10, 1 << (16 * blobs.count()).bit_length()))
-
-    def places(data: np.ndarray) -> np.ndarray:
-        return data.view("<u4").reshape(-1, 8)[:, :4] & np.uint32(bits - 1)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_set = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            is_set[places(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8))] = True
-        words = np.packbits(is_set, bitorder="little").view("<i8")
-        some = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["at", "word"])
-
-    words = np.zeros(bits // 64, dtype="<i8")
-    for r in blobs.select(key).mapInArrow(mark, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect():
-        words[r["at"]] = r["word"]
-    sent = blobs.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        at = places(np.frombuffer(b"".join(keys), dtype=np.uint8))
-        return pd.Series(((sent.value[at >> 6] >> (at & 63).astype(np.int64)) & 1).all(axis=1))
-
-    return test(F.col(key))
+    found = rows.mapInArrow(fresh, LEDGER).unionByName(some.select("blob", "text", "missing").mapInArrow(scan, LEDGER))
+    found.write.mode("append").parquet(path)
 
 
 def findings(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -171,7 +147,7 @@ def findings(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataF
     found = cut(found)
     docs = docs.drop("secrets").withColumn("_blob", blob_of(F.col("text")))
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    listed = may_be_in(found, "_blob")
+    listed = may_be_in(key_filter(found.select("_blob")), "_blob")
     rest = docs.filter(~listed).select(*docs.columns, none.alias("secrets"))
     some = docs.filter(listed)
     # Blobs without findings that seem to be listed are counted too: such a one may be frequent.

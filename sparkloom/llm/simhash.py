@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, join_counted
+from sparkloom.llm.common import cut, join_counted, key_filter, may_be_in
 from sparkloom.llm.graph import connect
 from sparkloom.llm.shingle import shingles
 from sparkloom.llm.similar import BOTTOM, KEY, TOP, confirmed, set_key, shingle_set
@@ -428,9 +428,10 @@ def wide_links(prints: DataFrame, layout: Layout) -> DataFrame:
     """
     words, low = layout.words, layout.bits - layout.top
     each = _spots(prints, layout, "node")
-    often = each.groupBy("spot").agg(F.count("*").alias("n"), F.min(F.struct("print", "node")).alias("one"))
-    # Fewer than FREQUENT in each segment.
-    often = F.broadcast(cut(often.filter(F.col("n") > max(RARE, prints.count() / FREQUENT)).select("spot", F.col("one.print").alias("rep"), F.col("one.node").alias("rep_node"))))
+    # Fewer than FREQUENT in each segment. Only their rows are looked at for the smallest, so that the count moves no fingerprint.
+    often = cut(each.groupBy("spot").agg(F.count("*").alias("n")).filter(F.col("n") > max(RARE, prints.count() / FREQUENT)).select("spot"))
+    least = each.join(F.broadcast(often), "spot").groupBy("spot").agg(F.min(F.struct("print", "node")).alias("one"))
+    often = F.broadcast(cut(least.select("spot", F.col("one.print").alias("rep"), F.col("one.node").alias("rep_node"))))
     marked = each.join(often, "spot", "left")
     absorbed = (F.col("node") != F.col("rep_node")) & (bits_between(F.col("print"), F.col("rep"), words) <= layout.close)
     some = marked.filter("rep is not null").filter(absorbed).select(F.col("node").alias("a"), F.col("rep_node").alias("b"))
@@ -594,14 +595,19 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = cut(both.select("doc_id", "row", F.substring("both", 1, KEY).alias("key"), F.substring("both", KEY + 1, 8 * layout.words).alias("print")))
     # A row for each distinct set; equal sets have equal fingerprints.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    sets = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.min("print").alias("print")).withColumn("node", F.xxhash64("print")))
+    sets = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.min("print").alias("print"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("print")))
     links = wide_links(sets.groupBy("node").agg(F.min("print").alias("print")), layout)
     roots = connect(links)
     placed = cut(sets.join(roots, "node", "left").withColumn("scope", F.coalesce("root", "node")).drop("root", "node"))
     several = cut(placed.groupBy("scope").agg(F.count("*").alias("n")).filter("n > 1"))
     members = placed.agg(F.count("*")).first()[0]
     linked = cut(join_counted(placed, several, "scope", "n", members).select("key", "scope", "print", F.col("first.row").alias("row")))
-    texts = docs.select(row.alias("row"), text.alias("text")).join(linked.select("row", "key"), "row").dropDuplicates(["row"]).select("key", "text")
+    # Rows whose set is like none but its own are settled where they lie.
+    marks = placed.join(linked.select("key", F.lit(True).alias("like")), "key", "left").filter("copies > 1 or like").select("key", "copies")
+    open_ = cut(join_counted(rows, cut(marks), "key", "copies", rows.count()).select("row"))
+    docs = docs.withColumn("_row", row)
+    listed = may_be_in(key_filter(open_), "_row")
+    texts = docs.filter(listed).select(F.col("_row").alias("row"), text.alias("text")).join(linked.select("row", "key"), "row").dropDuplicates(["row"]).select("key", "text")
     texts = cut(texts, "sets")
 
     def like(members: DataFrame, centres: DataFrame, centre: Column, total: int) -> DataFrame:
@@ -625,6 +631,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     same = connect(links).withColumnRenamed("node", "key")
     found = placed.join(same, "key", "left").withColumn("root", F.coalesce("root", "key"))
     stay = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and not t.startswith(("map", "array", "struct", "variant"))]
-    one = F.min_by(F.struct(*docs.columns), F.struct(F.lit(0), *plain)).alias("_one")
-    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").groupBy("_row").agg(one).select("_one.*")
+    columns = docs.drop("_row").columns
+    plain = [c for c, t in docs.dtypes if c not in ("doc_id", "text", "_row") and not t.startswith(("map", "array", "struct", "variant"))]
+    one = F.min_by(F.struct(*columns), F.struct(F.lit(0), *plain)).alias("_one")
+    return docs.filter(listed).join(stay, "_row", "left_semi").groupBy("_row").agg(one).select("_one.*").unionByName(docs.filter(~listed).select(*columns))
