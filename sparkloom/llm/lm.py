@@ -27,7 +27,7 @@ FREQUENT = 1 << 21
 #: Weight of the word's own probability against that after the word before it, in tokens.
 PRIOR = 10.0
 #: Tokens that a task counts before it hands counts on, and those that it scores at once; bytes of text in a part of the counts.
-HELD, SCORED, PART = 1 << 21, 1 << 18, 1 << 22
+HELD, SCORED, PART = 1 << 20, 1 << 16, 1 << 22
 #: Partial sums of logarithms are whole numbers of 1 / FIXED, so that their order doesn't matter.
 FIXED = float(1 << 36)
 #: Names of slots, which decide on the piece of a word.
