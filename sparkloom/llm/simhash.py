@@ -348,6 +348,22 @@ def _pairs_of(value: np.ndarray, number: np.ndarray, prints: np.ndarray, reach:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _least_joined(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """For each of so many numbers the smallest that links (a, b) join it with."""
+    label = np.arange(count)
+    while True:
+        low = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, label[a], low)
+        np.minimum.at(now, label[b], low)
+        np.minimum.at(now, a, low)
+        np.minimum.at(now, b, low)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
 def _apart(value: np.ndarray, number: np.ndarray, prints: np.ndarray, labels: np.ndarray, words: int, most: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows with equal values, different labels and few differing bits, in the first words and in all; number is the row of each value."""
     left, right = [], []
@@ -430,11 +446,12 @@ def wide_links(prints: DataFrame, layout: Layout) -> DataFrame:
     each = _spots(prints, layout, "node")
     # Fewer than FREQUENT in each segment. Only their rows are looked at for the smallest, so that the count moves no fingerprint.
     often = cut(each.groupBy("spot").agg(F.count("*").alias("n")).filter(F.col("n") > max(RARE, prints.count() / FREQUENT)).select("spot"))
-    least = each.join(F.broadcast(often), "spot").groupBy("spot").agg(F.min(F.struct("print", "node")).alias("one"))
+    hot = cut(each.join(F.broadcast(often), "spot"))
+    least = hot.groupBy("spot").agg(F.min(F.struct("print", "node")).alias("one"))
     often = F.broadcast(cut(least.select("spot", F.col("one.print").alias("rep"), F.col("one.node").alias("rep_node"))))
-    marked = each.join(often, "spot", "left")
     absorbed = (F.col("node") != F.col("rep_node")) & (bits_between(F.col("print"), F.col("rep"), words) <= layout.close)
-    some = marked.filter("rep is not null").filter(absorbed).select(F.col("node").alias("a"), F.col("rep_node").alias("b"))
+    some = hot.join(often, "spot").filter(absorbed).select(F.col("node").alias("a"), F.col("rep_node").alias("b")).distinct()
+    marked = each.join(often, "spot", "left")
     rest = marked.filter(~F.coalesce(absorbed, F.lit(False))).select("spot", "print", "node", F.coalesce(F.col("node") == F.col("rep_node"), F.lit(False)).alias("wide"))
 
     def links(group: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -443,10 +460,15 @@ def wide_links(prints: DataFrame, layout: Layout) -> DataFrame:
         # Two reach `most` together; one that stands for others reaches as much further as these may be from it.
         reach = layout.most / 2 + np.where(rows["wide"].to_numpy(), layout.close, 0)
         a, b = _pairs_of(value, number, prints, reach)
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+        # Each to the smallest node that it is joined with: fewer links than rows, and much the same ones in every group of a family.
         nodes = rows["node"].to_numpy()
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[pair[:, 0]]), pa.array(nodes[pair[:, 1]])], names=["a", "b"])
+        order = np.argsort(nodes, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        least = nodes[order][_least_joined(rank[a], rank[b], len(order))][rank]
+        some = np.flatnonzero(least != nodes)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(least[some])], names=["a", "b"])
 
     return some.unionByName(_in_groups(_groups(rest, layout), links, "a long, b long"))
 

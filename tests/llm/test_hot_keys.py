@@ -161,3 +161,12 @@ def test_the_entry_has_all_queries():
     """The entry leaves these out where they can't be imported; here they can."""
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 14)} and len(names) == 15
+
+
+def test_each_is_joined_with_the_smallest():
+    rng = np.random.default_rng(15)
+    for _ in range(100):
+        n, m = (int(x) for x in rng.integers(1, 50, 2))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        of = {k: min(c) for c in components(zip(a.tolist(), b.tolist(), strict=True), list(range(n))) for k in c}
+        assert simhash._least_joined(a, b, n).tolist() == [of[k] for k in range(n)]
