@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sparkloom.llm import mixing, quality, secrets, simhash, similar, urls
+from sparkloom.llm import graph, mixing, quality, secrets, simhash, similar, urls
 from sparkloom.llm.common import key_filter, may_be_in, shared_folder
 from sparkloom.llm.queries import RULES
 from test_similar import edited, plain_roots
@@ -170,3 +170,10 @@ def test_each_is_joined_with_the_smallest():
         a, b = rng.integers(0, n, m), rng.integers(0, n, m)
         of = {k: min(c) for c in components(zip(a.tolist(), b.tolist(), strict=True), list(range(n))) for k in c}
         assert simhash._least_joined(a, b, n).tolist() == [of[k] for k in range(n)]
+
+
+def test_connect_edges(spark):
+    """Null ends, links to itself and repeated links add nothing; no links give no rows."""
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (5, 5), (None, 7), (8, None), (9, 4)], "a long, b long")
+    assert sorted(map(tuple, graph.connect(links).collect())) == [(2, 1), (3, 1), (9, 4)]
+    assert graph.connect(links.limit(0)).count() == 0
