@@ -56,9 +56,10 @@ def agree(got, want, share=1.0):
     assert all(abs(a[5] - b[5]) <= 1e-6 + 1e-9 * abs(b[5]) for a, b in zip(got, want, strict=True))
     same = sum(abs(a[6] - b[6]) < 1e-6 for a, b in zip(got, want, strict=True))
     assert same >= share * len(want), (same, len(want))
-    # Counts that are too high by chance shift scores by little.
-    shift = [abs(a[6] - b[6]) / (1 - b[6]) for a, b in zip(got, want, strict=True)]
-    assert not shift or (sum(shift) / len(shift) < 0.01 and max(shift) < 0.15), (sum(shift) / len(shift), max(shift))
+    # Counts that are too high by chance shift scores by little on average, and by much at most in a text in a hundred: one that repeats
+    # a pair thousands of times has that one chance all over.
+    shift = sorted(abs(a[6] - b[6]) / (1 - b[6]) for a, b in zip(got, want, strict=True))
+    assert not shift or (sum(shift) / len(shift) < 0.01 and shift[int(0.99 * (len(shift) - 1))] < 0.1), shift[-10:]
 
 
 @pytest.fixture(scope="module")
