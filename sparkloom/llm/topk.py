@@ -61,12 +61,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     without an id. Rows that repeat a vec_id are candidates each; as a query that id counts once, with its
     smallest vector. Vectors of other lengths meet so far as both go. An empty table gives an empty result.
 
-    Queries are searched in blocks of QUERIES (the only thing broadcast, of that bounded size). For a block, all
-    candidates are scored where they lie, several times: each pass adds up, over all tasks, a histogram of
+    Queries are searched in blocks of QUERIES (the only thing broadcast, of that bounded size). The integers are written
+    once; for a block, all candidates are scored where they lie, several times: each pass adds up, over all tasks, a histogram of
     BINS bins of the range that still holds a query's kth value; when bins are one score wide
     the value is known, and a last pass keeps what is above it, and of its ties the k smallest ids.
     """
-    rows = whole_numbers(vectors, scale)
+    rows = cut(whole_numbers(vectors, scale))
     queries = cut(rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     n = queries.count()
     found = None
