@@ -8,19 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sparkloom.llm.common import cut, remove
+from sparkloom.llm.common import cut, remove, shared_folder
 
 #: Bits of the filter for each entry, and bits that an entry sets: about one entry in fifty seems to be there by chance.
 ENTRY, HASHES = 8, 5
-#: Bits of a filter that is broadcast (96 MB). A larger model goes out piece by piece, in a pass over the texts for each.
+#: Bits of a filter that is broadcast (96 MB). A larger model goes out piece by piece; each piece is asked only for its own tokens.
 PIECE = 3 << 28
 #: A word is frequent if it is over 1 / FREQUENT of all tokens, so fewer than FREQUENT words are: their exact counts are broadcast.
 FREQUENT = 1 << 21
@@ -58,9 +59,8 @@ def before(ids: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([END]), ids[:-1]])
 
 
-def pair_keys(ids: np.ndarray) -> np.ndarray:
-    """A key for each token with the one before it. The last 16 bits are the slots of both."""
-    first = before(ids)
+def pair_keys(first: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A key for each token with the one before it (first). The last 16 bits are the slots of both."""
     last = np.uint64(SLOTS - 1)
     return (_mix(first ^ _mix(ids)) & ~np.uint64(0xFFFF)) | ((first & last) << np.uint64(8)) | (ids & last)
 
@@ -172,7 +172,7 @@ def gather_counts(docs: DataFrame, parts: int) -> DataFrame:
             counts[np.searchsorted(keys, some)] = n
             yield _batch([(p, WORDS, pack_sorted(keys[at]), pack(counts[at]), pack(every[at])) for p, at in _by_part(keys, parts)], COUNTED)
             if len(trained):
-                keys, n = np.unique(pair_keys(trained), return_counts=True)
+                keys, n = np.unique(pair_keys(before(trained), trained), return_counts=True)
                 yield _batch([(p, PAIRS, pack_sorted(keys[at]), pack(n[at]), b"") for p, at in _by_part(keys, parts)], COUNTED)
 
         for batch in batches:
@@ -259,66 +259,147 @@ def slot_groups(counts: DataFrame, levels: int) -> int:
     raise ValueError(f"the model needs pieces of over {PIECE} bits")
 
 
-def build_filter(counts: DataFrame, parts: int, piece: tuple[int, int], groups: int) -> Filter:
-    """The filter of the pairs whose words are of these two groups of slots, and of the words of either. Segments are made where their counts lie."""
+def filter_segments(counts: DataFrame, groups: int) -> str:
+    """The path of a table with the segments of all pieces, made in one pass where their counts lie: piece (a folder for each), segment, bits.
+
+    Piece (i, j), numbered i * groups + j, has the pairs whose words are of these two groups of slots, and the words of either.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, kind, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys, levels = unpack_sorted(keys), levels_of(unpack(n))
-                one, other = (group_of(k, groups) for k in (keys, keys >> np.uint64(8)))
-                mine = (one == piece[0]) | (one == piece[1]) if kind == WORDS else (other == piece[0]) & (one == piece[1])
-                keys, levels = keys[mine & (levels > 0)], levels[mine & (levels > 0)]
-                if len(keys):
-                    size = -(-int(levels.sum()) * ENTRY // 8)
-                    is_set = np.zeros(8 * size, dtype=bool)
-                    for level in range(1, int(levels.max()) + 1):
-                        entry = entries(keys[levels >= level], level)
-                        for k in range(HASHES):
-                            is_set[place(entry, k, np.uint64(8 * size))] = True
-                    yield _batch([(2 * part + kind, np.packbits(is_set, bitorder="little").tobytes())], "segment int, bits binary")
-
-    found = cut(counts.select("part", "kind", "keys", "n").mapInArrow(build, "segment int, bits binary"), "filter")
+                keys, levels = keys[levels > 0], levels[levels > 0]
+                for piece, some in (_words_of_pieces if kind == WORDS else _pairs_of_pieces)(keys, groups):
+                    yield _batch([(piece, 2 * part + kind, _segment(keys[some], levels[some], ENTRY))], "piece int, segment int, bits binary")
+
+    path = shared_folder(counts.sparkSession, "filter")
+    found = counts.select("part", "kind", "keys", "n").mapInArrow(build, "piece int, segment int, bits binary")
+    (found if groups == 1 else found.repartition(groups * groups, "piece")).write.partitionBy("piece").parquet(path)
+    return path
+
+
+def _pairs_of_pieces(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces and the places of their pairs."""
+    piece = group_of(keys >> np.uint64(8), groups) * groups + group_of(keys, groups)
+    yield from _by_value(piece)
+
+
+def _words_of_pieces(keys: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pieces and the places of their words."""
+    of = dict(_by_value(group_of(keys, groups)))
+    for i in range(groups):
+        for j in range(groups):
+            own = [of[g] for g in {i, j} if g in of]
+            if own:
+                yield i * groups + j, np.concatenate(own)
+
+
+def _by_value(x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value and its places, in order."""
+    order = np.argsort(x, kind="stable")
+    edges = np.flatnonzero(np.diff(x[order], prepend=-1, append=-1)) if len(x) else []
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        yield int(x[order[a]]), order[a:z]
+
+
+def _segment(keys: np.ndarray, levels: np.ndarray, each: int) -> bytes:
+    """A segment with all levels of these keys, of so many bits each."""
+    size = -(-int(levels.sum()) * each // 8)
+    is_set = np.zeros(8 * size, dtype=bool)
+    for level in range(1, int(levels.max()) + 1):
+        entry = entries(keys[levels >= level], level)
+        for k in range(HASHES):
+            is_set[place(entry, k, np.uint64(8 * size))] = True
+    return np.packbits(is_set, bitorder="little").tobytes()
+
+
+def load_filter(spark: SparkSession, path: str, parts: int, piece: int) -> Filter:
+    """A piece of what filter_segments has written."""
+    found = spark.read.schema("segment int, bits binary, piece int").parquet(path).filter(F.col("piece") == piece)
     sizes = np.zeros(2 * parts, dtype=np.int64)
     for r in found.select("segment", F.octet_length("bits")).collect():
         sizes[r[0]] = r[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     bits = bytearray(int(starts[-1]))
-    for r in found.toLocalIterator():  # the driver holds it once, and a task's rows
+    for r in found.select("segment", "bits").toLocalIterator():  # the driver holds it once, and a task's rows
         bits[starts[r[0]] : starts[r[0] + 1]] = r[1]
-    remove(counts.sparkSession, found)
     return Filter(parts, starts, bits)
 
 
+def build_filter(counts: DataFrame, parts: int, piece: tuple[int, int], groups: int) -> Filter:
+    """The filter of the pairs whose words are of these two groups of slots, and of the words of either."""
+    path = filter_segments(counts, groups)
+    found = load_filter(counts.sparkSession, path, parts, piece[0] * groups + piece[1])
+    remove(counts.sparkSession, path)
+    return found
+
+
 def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
     return ((keys & np.uint64(SLOTS - 1)).astype(np.int64) * groups) >> 8
 
 
-def log_probabilities(ids: np.ndarray, model: Filter, piece: tuple[int, int], groups: int, space: float) -> np.ndarray:
-    """log10 of the smoothed probability of each token after the one before it, by probes; 0 for tokens of other pieces."""
-    words, where = np.unique(ids, return_inverse=True)
-    own = model.levels(words, WORDS)[where]
-    # A text's last token is END, which also stands before its first.
-    first = np.concatenate([own[-1:], own[:-1]])
-    mine = np.arange(len(ids)) if groups == 1 else np.flatnonzero((group_of(before(ids), groups) == piece[0]) & (group_of(ids, groups) == piece[1]))
+def log_probabilities(words: np.ndarray, levels: np.ndarray, first: np.ndarray, own: np.ndarray, model: Filter, space: float) -> np.ndarray:
+    """log10 of the smoothed probability of each token (own) after the one before it (first), by probes; both are places in words, whose levels are given."""
     # A pair is no more frequent than either word, which shows most pairs that seem to be there by chance.
-    most = np.minimum(own, first)[mine]
-    both = np.zeros(len(mine), dtype=np.int64)
+    most = np.minimum(levels[own], levels[first])
+    both = np.zeros(len(own), dtype=np.int64)
     some = np.flatnonzero(most > 0)
-    both[some] = np.minimum(model.levels(pair_keys(ids)[mine[some]], PAIRS), most[some])
-    alone, both = (count_of(own[mine]) + 1) / space, count_of(both)
-    out = np.zeros(len(ids))
-    out[mine] = np.log10((both + PRIOR * alone) / (count_of(first[mine]) + PRIOR))
-    return out
+    both[some] = np.minimum(model.levels(pair_keys(words[first[some]], words[own[some]]), PAIRS), most[some])
+    return np.log10((count_of(both) + PRIOR * (count_of(levels) + 1)[own] / space) / (count_of(levels) + PRIOR)[first])
+
+
+def _codes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of whole texts, in order, and the places there of the token before each and of each."""
+    words, own = np.unique(ids, return_inverse=True)
+    # A text's last token is END, which also stands before its first.
+    return words, np.concatenate([own[-1:], own[:-1]]), own
+
+
+def cells(ids: np.ndarray, row: np.ndarray, groups: int) -> Iterator[list[bytes]]:
+    """The tokens of whole texts, dealt to the pieces that have their pairs: for some tokens at a time a cell for each piece.
+
+    row has the number of each token's text, in order. A cell has its distinct words and, for each token, the places there of it and the
+    one before it, and its row: a third of the bytes of both words. Each token is in one cell.
+    """
+    words, first, own = _codes(ids)
+    group, local = group_of(words, groups), np.empty(len(words), dtype=np.uint32)
+    for at in range(0, len(ids), HELD):
+        v, w, r = first[at : at + HELD], own[at : at + HELD], row[at : at + HELD]
+        out = [b""] * groups**2
+        for piece, some in _by_value(group[v] * groups + group[w]):
+            a, b = v[some], w[some]
+            used = np.unique(np.concatenate([a, b]))
+            local[used] = np.arange(len(used), dtype=np.uint32)
+            head = np.array([len(used), len(some)], dtype=np.uint64).tobytes()
+            out[piece] = head + pack_sorted(words[used]) + b"".join(map(_pack_small, (local[a], local[b], np.diff(r[some], prepend=0))))
+        yield out
+
 
+def read_cell(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, first, own, row of a cell."""
+    n_words, n = np.frombuffer(cell[:16], dtype=np.uint64).tolist()
+    at = 16 + 8 * n_words
+    first, own, steps = (_unpack_small(cell[at + 4 * n * k : at + 4 * n * (k + 1)]) for k in range(3))
+    return unpack_sorted(cell[16:at]), first, own, np.cumsum(steps)
 
-def texts_at_once(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Word ids of some texts at a time, and the number of the first."""
+
+def _pack_small(x: np.ndarray) -> bytes:
+    """As pack, for numbers under 2^32."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpack_small(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def texts_at_once(texts: pa.Array, tokens: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Word ids of some texts at a time, of so many tokens or a little more, and the number of the first."""
     at, held, size = 0, [], 0
     for i, t in enumerate(texts):
         held.append(word_ids(t.as_py()))
         size += len(held[-1])
-        if size >= SCORED:
+        if size >= tokens:
             yield at, held
             at, held, size = i + 1, [], 0
     if held:
@@ -390,7 +471,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     gives: the middle of 1, 2-3, 4-7 and so on, seldom too high (see ENTRY) and never too low; c(v w) is at most c(v) and c(w).
 
     The filter is made where the counts lie and broadcast in pieces of at most PIECE bits. One piece is all there is for some
-    70 million different pairs; beyond that words fall into groups of slots, and each pair of groups is a piece with a pass over the texts.
+    70 million different pairs; beyond that words fall into groups of slots, and each pair of groups is a piece. Texts are then taken apart once, and
+    each token is dealt to the piece of its pair, so that the work doesn't grow with the number of pieces.
     A null text is an empty one: its only token is the end. A null in training is false; repeated rows count and are scored each; without
     training rows every count is 0 and N + V + 1 is 1; an empty table gives an empty result; other columns of docs are left out.
     """
@@ -403,14 +485,15 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     levels, tokens, every, distinct = map(int, got)
     space, groups = float(tokens + distinct + 1), slot_groups(counts, levels)
     frequent = spark.sparkContext.broadcast(frequent_words(counts, every))
-    model = spark.sparkContext.broadcast(build_filter(counts, parts, (0, 0), groups))
+    model = spark.sparkContext.broadcast(build_filter(counts, parts, (0, 0), groups)) if groups == 1 else None
+    names = [f"cell{k}" for k in range(groups**2)] if groups > 1 else []
     kind = dict(rows.dtypes)["doc_id"].replace("bigint", "long")
-    schema = f"_row long, training boolean, n_tokens long, known long, base double, score long, tail binary, text string, doc_id {kind}"
+    schema = f"_row long, training boolean, n_tokens long, known long, base double, score long, tail binary, doc_id {kind}{''.join(f', {c} binary' for c in names)}"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = frequent.value
         for batch in batches:
-            for at, held in texts_at_once(batch.column(1)):
+            for at, held in texts_at_once(batch.column(1), HELD if names else SCORED):
                 ids = np.concatenate(held)
                 sizes = np.array([len(h) for h in held])
                 starts = np.cumsum(sizes) - sizes
@@ -419,47 +502,88 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
                 count = np.where(common, n[found], 0) if len(keys) else np.zeros(len(ids), dtype=np.int64)
                 base = np.add.reduceat(np.where(common, np.log10((count + 1) / space), 0.0), starts)
                 known = np.add.reduceat((count > 0).astype(np.int64), starts)
-                own = np.add.reduceat(log_probabilities(ids, model.value, (0, 0), groups, space), starts)
+                own = np.zeros(len(held))
+                if not names:
+                    words, *places = _codes(ids)
+                    own = np.add.reduceat(log_probabilities(words, model.value.levels(words, WORDS), *places, model.value, space), starts)
                 ends = np.cumsum(np.add.reduceat((~common).astype(np.int64), starts))
                 rare = ids[~common].tobytes()
                 tails = [rare[8 * a : 8 * z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
                 some = batch.slice(at, len(held))
-                text = some.column(1) if groups > 1 else pa.nulls(len(held), pa.string())
-                columns = [some.column(3), some.column(2), pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.rint(own * FIXED).astype(np.int64)), pa.array(tails, pa.binary()), text, some.column(0)]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+                columns = [some.column(3), some.column(2), pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.rint(own * FIXED).astype(np.int64)), pa.array(tails, pa.binary()), some.column(0)]
+                columns += [pa.nulls(len(held), pa.binary())] * len(names)
+                fields = [c.split()[0] for c in schema.split(", ")]
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
+                if names:
+                    # Rows of cells have the first _row of their texts and, besides, nothing but cells.
+                    row = some.column(3).to_numpy()
+                    for dealt in cells(ids, np.repeat(row - row[0], sizes), groups):
+                        rest = [pa.nulls(1, c.type) for c in columns[1 : -len(names)]]
+                        yield pa.RecordBatch.from_arrays([pa.array(row[:1]), *rest, *(pa.array([c], pa.binary()) for c in dealt)], names=fields)
 
     first = cut(rows.select("doc_id", "text", "training", F.monotonically_increasing_id().alias("_row")).mapInArrow(score, schema), "scores")
-    for sent in (model, frequent):
+    for sent in filter(None, (model, frequent)):
         sent.destroy()
-    out = first.drop("text", "tail").join(rare_scores(first.filter(F.octet_length("tail") > 0), counts, parts, space).withColumnsRenamed({"base": "_base", "known": "_known"}), "_row", "left")
+    texts = first.filter(F.col("n_tokens").isNotNull()).drop(*names)
+    out = texts.drop("tail").join(rare_scores(texts.filter(F.octet_length("tail") > 0), counts, parts, space).withColumnsRenamed({"base": "_base", "known": "_known"}), "_row", "left")
     none = F.lit(0).cast("long")
     total = F.col("score")
-    if groups > 1:
-        more = None
-        for piece in ((i, j) for i in range(groups) for j in range(groups) if i or j):
-            sent = spark.sparkContext.broadcast(build_filter(counts, parts, piece, groups))
-            part = cut(_piece_scores(first, sent, piece, groups, space))
+    if names:
+        path, found = filter_segments(counts, groups), []
+        for k, name in enumerate(names):
+            sent = spark.sparkContext.broadcast(load_filter(spark, path, parts, k))
+            found.append(cut(_piece_scores(first, name, sent, space), "piece"))
             sent.destroy()
-            more = part if more is None else more.unionByName(part)
-        out = out.join(more.groupBy("_row").agg(F.sum("more").alias("more")), "_row")
+        remove(spark, path)
+        out = out.join(_added(reduce(DataFrame.unionByName, found)), "_row")
         total = total + F.col("more")
     out = cut(out.select("doc_id", "training", "n_tokens", (F.col("known") + F.coalesce("_known", none)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("_base", none) / FIXED).alias("base_score"), (total / FIXED).alias("score")))
-    for done in (counts, first):
+    for done in (counts, first, *(found if names else [])):
         remove(spark, done)
     return out
 
 
-def _piece_scores(rows: DataFrame, model: Broadcast, piece: tuple[int, int], groups: int, space: float) -> DataFrame:
-    """_row, more: what the tokens of a piece add to each row's score, in 1 / FIXED."""
+def _piece_scores(first: DataFrame, cell: str, model: Broadcast, space: float) -> DataFrame:
+    """_row, sums: what the tokens of a piece add to the scores of the rows from _row on, in 1 / FIXED. Only the piece's own column is read."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, held in texts_at_once(batch.column(1)):
-                sizes = np.array([len(h) for h in held])
-                sums = np.add.reduceat(log_probabilities(np.concatenate(held), model.value, piece, groups, space), np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.array(np.rint(sums * FIXED).astype(np.int64))], names=["_row", "more"])
+            for at, data in zip(batch.column(0), batch.column(1), strict=True):
+                words, before_, own, row = read_cell(data.as_py())
+                levels, sums = model.value.levels(words, WORDS), np.zeros(row[-1] + 1, dtype=np.int64)
+                for a in range(0, len(own), SCORED):
+                    z = a + SCORED
+                    some = np.rint(log_probabilities(words, levels, before_[a:z], own[a:z], model.value, space) * FIXED).astype(np.int64)
+                    starts = np.flatnonzero(np.diff(row[a:z], prepend=-1))
+                    sums[row[a:z][starts]] += np.add.reduceat(some, starts)
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int64()), pa.array([pack(sums)], pa.binary())], names=["_row", "sums"])
+
+    return first.filter(F.octet_length(cell) > 0).select("_row", cell).mapInArrow(score, "_row long, sums binary")
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    """_row, more: the sums of all pieces by row."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(0, dtype=np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(total))), pa.array(total)], names=["_row", "more"])
+
+        for batch in batches:
+            for row, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row != at:
+                    if at is not None:
+                        yield told()
+                    at, total = row, np.zeros(0, dtype=np.int64)
+                own = unpack(data).view(np.int64)
+                if len(own) > len(total):
+                    total, own = own.copy(), total
+                total[: len(own)] += own
+        if at is not None:
+            yield told()
 
-    return rows.select("_row", "text").mapInArrow(score, "_row long, more long")
+    return sums.repartition("_row").sortWithinPartitions("_row").mapInArrow(add, "_row long, more long")
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:

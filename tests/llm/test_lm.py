@@ -98,6 +98,32 @@ def test_pieces_are_several(made, monkeypatch):
         lm.slot_groups(counts, levels)
 
 
+def test_pieces_read_no_text(made, monkeypatch):
+    """Texts are taken apart once: no working table holds them, and each piece reads the column of its own tokens alone."""
+    tables, read, cut, piece_scores = [], [], lm.cut, lm._piece_scores
+    monkeypatch.setattr(lm, "PIECE", 20_000)
+    monkeypatch.setattr(lm, "cut", lambda df, *name: tables.append(df.columns) or cut(df, *name))
+    monkeypatch.setattr(lm, "_piece_scores", lambda *a: read.append((out := piece_scores(*a))._jdf.queryExecution().optimizedPlan().toString()) or out)
+    assert len(scores(made[1])) == len(made[0])
+    assert not [t for t in tables if "text" in t]
+    assert len(read) >= 4 and not [r for r in read if "text" in r]
+
+
+@pytest.mark.parametrize("held", [7, 1 << 20])
+def test_cells_have_each_token_once(monkeypatch, held):
+    monkeypatch.setattr(lm, "HELD", held)
+    texts = [lm.word_ids(t) for t in ("", "a b a b a", "c", "The the A " * 20, "é")]
+    ids, row = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = Counter()
+    for dealt in lm.cells(ids, row, 4):
+        for piece, cell in enumerate(dealt):
+            if cell:
+                words, first, own, rows = lm.read_cell(cell)
+                assert (lm.group_of(words[first], 4) * 4 + lm.group_of(words[own], 4) == piece).all()
+                got.update(zip(rows.tolist(), words[first].tolist(), words[own].tolist(), strict=True))
+    assert got == Counter(zip(row.tolist(), lm.before(ids).tolist(), ids.tolist(), strict=True))
+
+
 def test_filter_is_never_too_low():
     """Levels of keys that are there are right or, by chance, too high; one absent key in thirty at most seems to be there."""
     rng = np.random.default_rng(9)
