@@ -28,7 +28,7 @@ def connect(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         # large has at most one row for each edge.
         stars = join_counted(large, least, "u", "n", before["n"]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, edges = edges, cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, edges = edges, cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct(), rows=before["n"])
         remove(spark, last)
         now = edges.agg(mark).first()[0]
         if now == before:

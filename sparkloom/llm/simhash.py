@@ -578,12 +578,12 @@ def centres_of(linked: DataFrame, several: DataFrame, words: int) -> DataFrame:
     total = linked.count()
     own = join_counted(linked, big, "scope", "n", total).select("scope", "n", "key", "print")
     sums = own.select("scope", "print").mapInArrow(partial, "scope long, sums binary").join(big, "scope").select("scope", "n", "sums")
-    middle = cut(sums.repartition("scope").sortWithinPartitions("scope").mapInArrow(whole, "scope long, n long, middle binary"))
+    middle = cut(sums.repartition("scope").sortWithinPartitions("scope").mapInArrow(whole, "scope long, n long, middle binary"), rows=total)
     near = join_counted(linked, middle, "scope", "n", total).groupBy("scope")
     best = near.agg(F.min(F.struct(bits_between(F.col("print"), F.col("middle"), words).alias("apart"), "key", "print")).alias("best"))
     first = linked.groupBy("scope").agg(F.count("*").alias("n"), F.min(F.struct("key", "print")).alias("first"))
     best = best.select("scope", F.struct("best.key", "best.print").alias("best"))
-    return cut(first.join(best, "scope", "left").select("scope", "n", F.coalesce("best", "first").alias("centre")))
+    return cut(first.join(best, "scope", "left").select("scope", "n", F.coalesce("best", "first").alias("centre")), rows=total)
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -596,7 +596,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     row hash, stays; of rows that agree in both the first by the plain ones of the other columns. All texts without words are alike, so one of them stays; a null text is an empty
     one; of repeated rows one stays; an empty table gives an empty result; columns of the input that are named like working ones are kept as they are.
     """
-    layout = Layout.of(docs.count())
+    count = docs.count()
+    layout = Layout.of(count)
 
     @F.pandas_udf("binary")
     def key_and_print(texts: pd.Series) -> pd.Series:
@@ -617,16 +618,16 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = cut(both.select("doc_id", "row", F.substring("both", 1, KEY).alias("key"), F.substring("both", KEY + 1, 8 * layout.words).alias("print")))
     # A row for each distinct set; equal sets have equal fingerprints.
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    sets = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.min("print").alias("print"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("print")))
+    sets = cut(rows.groupBy("key").agg(F.min(order).alias("first"), F.min("print").alias("print"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("print")), rows=count)
     links = wide_links(sets.groupBy("node").agg(F.min("print").alias("print")), layout)
     roots = connect(links)
-    placed = cut(sets.join(roots, "node", "left").withColumn("scope", F.coalesce("root", "node")).drop("root", "node"))
-    several = cut(placed.groupBy("scope").agg(F.count("*").alias("n")).filter("n > 1"))
+    placed = cut(sets.join(roots, "node", "left").withColumn("scope", F.coalesce("root", "node")).drop("root", "node"), rows=count)
     members = placed.agg(F.count("*")).first()[0]
-    linked = cut(join_counted(placed, several, "scope", "n", members).select("key", "scope", "print", F.col("first.row").alias("row")))
+    several = cut(placed.groupBy("scope").agg(F.count("*").alias("n")).filter("n > 1"), rows=members)
+    linked = cut(join_counted(placed, several, "scope", "n", members).select("key", "scope", "print", F.col("first.row").alias("row")), rows=members)
     # Rows whose set is like none but its own are settled where they lie.
     marks = placed.join(linked.select("key", F.lit(True).alias("like")), "key", "left").filter("copies > 1 or like").select("key", "copies")
-    open_ = cut(join_counted(rows, cut(marks), "key", "copies", rows.count()).select("row"))
+    open_ = cut(join_counted(rows, cut(marks, rows=members), "key", "copies", count).select("row"), rows=count)
     docs = docs.withColumn("_row", row)
     listed = may_be_in(key_filter(open_), "_row")
     texts = docs.filter(listed).select(F.col("_row").alias("row"), text.alias("text")).join(linked.select("row", "key"), "row").dropDuplicates(["row"]).select("key", "text")
@@ -636,20 +637,20 @@ def drop_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
         """Similar pairs of members and the centres of their components."""
         stars = join_counted(members, centres, "scope", "n", total).select("key", "print", centre.alias("centre")).filter(F.col("key") != F.col("centre.key"))
         stars = stars.filter(bits_between(F.col("print"), F.col("centre.print"), layout.words) <= layout.most)
-        return confirmed(stars.select(F.col("centre.key").alias("a"), F.col("key").alias("b")), texts, width)
+        return confirmed(cut(stars.select(F.col("centre.key").alias("a"), F.col("key").alias("b")), rows=total), texts, width)
 
     centres = centres_of(linked, several, layout.words)
     links = like(linked, centres, F.col("centre"), linked.count())
-    rest = cut(linked.join(links.select(F.col("b").alias("key")).unionByName(centres.select("centre.key")), "key", "left_anti"))
+    rest = cut(linked.join(links.select(F.col("b").alias("key")).unionByName(centres.select("centre.key")), "key", "left_anti"), rows=members)
     slot = F.pmod(F.xxhash64("key"), F.lit(CENTRES)).alias("slot")
     slots = rest.groupBy("scope", slot).agg(F.min(F.struct("key", "print")).alias("centre"), F.count("*").alias("n"))
-    more = cut(slots.groupBy("scope").agg(F.collect_list("centre").alias("centres"), F.sum("n").alias("n")))
+    more = cut(slots.groupBy("scope").agg(F.collect_list("centre").alias("centres"), F.sum("n").alias("n")), rows=members)
     links = links.unionByName(like(rest, more, F.explode("centres"), rest.count()))
-    apart = cut(linked.join(connect(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    apart = cut(linked.join(connect(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), rows=members)
     # Only components that are still in parts have pairs left.
-    parts = cut(apart.groupBy("scope").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("scope", "n"))
+    parts = cut(apart.groupBy("scope").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("scope", "n"), rows=members)
     apart = join_counted(apart, parts, "scope", "n", linked.count()).join(texts, "key").select("key", "root", wide_print("text").alias("print"))
-    links = links.unionByName(confirmed(wide_pairs(cut(apart), layout), texts, width))
+    links = links.unionByName(confirmed(cut(wide_pairs(cut(apart), layout)), texts, width))
     same = connect(links).withColumnRenamed("node", "key")
     found = placed.join(same, "key", "left").withColumn("root", F.coalesce("root", "key"))
     stay = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))

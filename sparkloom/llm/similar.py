@@ -42,14 +42,14 @@ def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
 def with_texts(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """pairs (a table) with text_a and text_b. The pairs of an a are dealt in parts of about PAIRS, each with a copy of its text."""
     of_a, of_b = (nodes.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    per = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS)))
+    per = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS)), rows=total)
     dealt = join_counted(pairs, per, "a", "n", total).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     copies = of_a.join(per, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return dealt.join(of_b, "b").join(copies, ["a", "part"])
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b: distinct keys of nodes, which has key and text) whose shingle sets are similar."""
+    """The pairs (a table of a, b: distinct keys of nodes, which has key and text) whose shingle sets are similar."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lru_cache(maxsize=64)(lambda t: shingle_set(t, width))  # pairs of an a come together
@@ -57,6 +57,5 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             near = [are_similar(of(x.as_py()), of(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    pairs = cut(pairs)
     met = with_texts(pairs, nodes, pairs.count()).select("a", "b", "text_a", "text_b")
     return cut(met.mapInArrow(similar, "a binary, b binary"))

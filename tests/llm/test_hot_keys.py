@@ -177,3 +177,15 @@ def test_connect_edges(spark):
     links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (5, 5), (None, 7), (8, None), (9, 4)], "a long, b long")
     assert sorted(map(tuple, graph.connect(links).collect())) == [(2, 1), (3, 1), (9, 4)]
     assert graph.connect(links.limit(0)).count() == 0
+
+
+def test_few_files(spark, by_task, monkeypatch):
+    """Tables of links have as many files as their rows need, whatever the number of shuffle partitions; the links are joined alike."""
+    written = []
+    monkeypatch.setattr(graph, "remove", lambda spark, table: None)  # else the last rounds' tables are gone
+    monkeypatch.setattr(graph, "cut", lambda *a, f=graph.cut, **b: (written.append(f(*a, **b)), written[-1])[1])
+    links = [(i, i + 1) for i in range(0, 600, 2)] + [(1000, i) for i in range(1001, 1300)]
+    found = {(r["node"], r["root"]) for r in graph.connect(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {(b, a) for a, b in links}
+    files = [len(t.inputFiles()) for t in written[1:]]
+    assert files and max(files) <= 2 * spark.sparkContext.defaultParallelism < 64, files
